@@ -2,7 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from changeflow.operators.ordered import block_of, carry_forward, next_after
+from changeflow.operators.ordered import (
+    block_of,
+    carry_forward,
+    next_after,
+    next_multiple,
+)
 
 #: Seconds between health checks, and the alert text.
 HEALTH_PERIOD = 5
@@ -21,18 +26,20 @@ def health_alerts(state_changes, period=HEALTH_PERIOD):
 
     Checks run at multiples of ``period`` from the first state change to the
     last; a component that has not reported yet is down. The changes between two
-    checks shrink to one row before the shuffle, and only the spans that alert
-    are expanded into checks.
+    checks shrink to one row, and only the spans that alert are expanded into
+    checks.
     """
-    tick = F.ceil(F.col("ts_s") / F.lit(period)).cast("bigint") * period
-    newest = F.struct("ts_s", "seq")
-    watched = state_changes.filter(F.col("component").isin("canal", "endpoint"))
+    watched = (
+        state_changes.filter(F.col("component").isin("canal", "endpoint"))
+        .groupBy("component", "ts_s")
+        .agg(F.max_by("state", "seq").alias("state"))
+    )
 
     def last_state(component):
-        return F.max_by("state", F.when(F.col("component") == component, newest))
+        return F.max_by("state", F.when(F.col("component") == component, F.col("ts_s")))
 
     at_tick = (
-        watched.groupBy(tick.alias("tick_s"))
+        watched.groupBy(next_multiple("ts_s", period).alias("tick_s"))
         .agg(
             last_state("canal").alias("canal_state"),
             last_state("endpoint").alias("endpoint_state"),

@@ -22,6 +22,9 @@ from pyspark.sql import types as T
 #: Stands for "never fired": farther back than any gap reaches.
 NEVER = -(1 << 62)
 
+#: Points of a key a task takes at a time.
+CHUNK_ROWS = 1 << 16
+
 _GROUP, _CHUNK = "_group", "_chunk"
 
 # Tasks get these functions with the plan; executors need not have the package.

@@ -2,33 +2,42 @@
 
 A plain window over ``partitionBy(key).orderBy(pos)`` sorts all rows of a key in
 one task; a hot key would then hold a third of the data. The operators here cut
-each key into blocks by columns that grow with the order, work inside a block,
-and bring in what came before from one summary row per block. The summaries are
-scanned the same way, block level by block level.
+each key into blocks by columns that grow with the order, and run the window
+inside a block. What came before a block enters it as one extra row, so the rows
+are shuffled once, by key and block, and joined to nothing. The extra rows come
+from one summary row per block, which are scanned the same way, block level by
+block level; the coarsest level ends in a plain window over few rows.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 20
 
 
 def block_of(position, width=BLOCK_ROWS):
-    """Block number of an integer position; a unique position fills a block with
-    at most ``width`` rows."""
-    return F.floor(F.col(position) / F.lit(width)).cast("bigint")
+    """First position of the block an integer position lies in.
+
+    A unique position fills a block with at most ``width`` rows.
+    """
+    return F.col(position) - F.pmod(F.col(position), F.lit(width).cast("bigint"))
+
+
+def next_multiple(position, step):
+    """The first multiple of ``step`` that is not before an integer position."""
+    return F.col(position) + F.pmod(-F.col(position), F.lit(step).cast("bigint"))
+
+
+def _position(order):
+    # A single column keeps the aggregate's buffer fixed-width, hence hashed.
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
-def _join_back(rows, summaries, on):
-    """Add the summary columns to the rows of each block, null-safe on the keys."""
-    renamed = summaries.select(
-        *[F.col(c).alias(f"_s_{c}") for c in on],
-        *[c for c in summaries.columns if c not in on],
+def _with_entering_row(df, entering, side):
+    """Add one row per block, before (-1) or after (1) the block's own rows."""
+    return df.withColumn("_side", F.lit(0)).unionByName(
+        entering.withColumn("_side", F.lit(side)), allowMissingColumns=True
     )
-    condition = F.lit(True)
-    for c in on:
-        condition = condition & rows[c].eqNullSafe(renamed[f"_s_{c}"])
-    return rows.join(renamed, condition, "left").drop(*[f"_s_{c}" for c in on])
 
 
 def running_total(df, value, keys, order, levels, name):
@@ -36,63 +45,56 @@ def running_total(df, value, keys, order, levels, name):
 
     ``levels`` lists block columns from coarse to fine. Each must not decrease
     along ``order``, and the finest, together with the coarser ones, must bound
-    the rows of a block. With no level this is a plain window, which the coarsest
-    summaries end in.
+    the rows of a block.
     """
-    if not levels:
-        frame = (
-            Window.partitionBy(*keys)
-            .orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return df.withColumn(name, F.sum(value).over(frame))
-
-    *coarser, finest = levels
-    block = [*keys, *coarser, finest]
-    totals = df.groupBy(*block).agg(F.sum(value).alias("_total"))
-    totals = running_total(totals, "_total", keys, [finest], coarser, "_upto")
-    before = totals.select(*block, (F.col("_upto") - F.col("_total")).alias("_before"))
-    inside = (
+    block = list(keys)
+    ordering = list(order)
+    summand = F.col(value)
+    if levels:
+        *coarser, finest = levels
+        block = [*keys, *coarser, finest]
+        totals = df.groupBy(*block).agg(F.sum(value).alias("_total"))
+        totals = running_total(totals, "_total", keys, [finest], coarser, "_upto")
+        entering = totals.select(*block, (F.col("_upto") - F.col("_total")).alias("_before"))
+        df = _with_entering_row(df, entering, -1)
+        ordering = ["_side", *ordering]
+        summand = F.coalesce(F.col("_before"), F.col(value))
+    frame = (
         Window.partitionBy(*block)
-        .orderBy(*order)
+        .orderBy(*ordering)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        _join_back(df, before, block)
-        .withColumn(name, F.col("_before") + F.sum(value).over(inside))
-        .drop("_before")
-    )
+    summed = df.withColumn(name, F.sum(summand).over(frame))
+    return summed.filter("_side = 0").drop("_side", "_before") if levels else summed
 
 
 def last_before(df, columns, keys, order, levels):
     """Add ``_in_<column>``: the last non-null value strictly before each row."""
+    block = list(keys)
+    ordering = list(order)
     if levels:
         *coarser, finest = levels
         block = [*keys, *coarser, finest]
-        position = F.struct(*order)
+        position = _position(order)
         ends = df.groupBy(*block).agg(
             *[
                 F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(c)
                 for c in columns
             ]
         )
-        reaching = last_before(ends, columns, keys, [finest], coarser).select(
-            *block, *[F.col(f"_in_{c}").alias(f"_reach_{c}") for c in columns]
-        )
-        df = _join_back(df, reaching, block)
-    else:
-        block = keys
+        reaching = last_before(ends, columns, keys, [finest], coarser)
+        entering = reaching.select(*block, *[F.col(f"_in_{c}").alias(c) for c in columns])
+        df = _with_entering_row(df, entering, -1)
+        ordering = ["_side", *ordering]
     frame = (
         Window.partitionBy(*block)
-        .orderBy(*order)
+        .orderBy(*ordering)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    inside = {c: F.last(c, ignorenulls=True).over(frame) for c in columns}
-    if not levels:
-        return df.withColumns({f"_in_{c}": inside[c] for c in columns})
-    return df.withColumns(
-        {f"_in_{c}": F.coalesce(inside[c], F.col(f"_reach_{c}")) for c in columns}
-    ).drop(*[f"_reach_{c}" for c in columns])
+    found = df.withColumns(
+        {f"_in_{c}": F.last(c, ignorenulls=True).over(frame) for c in columns}
+    )
+    return found.filter("_side = 0").drop("_side") if levels else found
 
 
 def carry_forward(df, columns, keys, order, levels):
@@ -104,24 +106,21 @@ def carry_forward(df, columns, keys, order, levels):
 
 
 def next_after(df, column, keys, order, levels, name):
-    """Add the non-null ``column`` of the row that follows in ``order``."""
-    backward = [F.col(c).desc() for c in order]
+    """Add the ``column`` of the row that follows in ``order``, null after the last."""
+    block = list(keys)
+    ordering = list(order)
     if levels:
         *coarser, finest = levels
         block = [*keys, *coarser, finest]
-        starts = df.groupBy(*block).agg(
-            F.min_by(column, F.struct(*order)).alias(column)
-        )
-        reaching = next_after(starts, column, keys, [finest], coarser, "_reach").select(
-            *block, "_reach"
-        )
-        df = _join_back(df, reaching, block)
-    else:
-        block = keys
-    following = F.lag(column).over(Window.partitionBy(*block).orderBy(*backward))
-    if not levels:
-        return df.withColumn(name, following)
-    return df.withColumn(name, F.coalesce(following, F.col("_reach"))).drop("_reach")
+        starts = df.groupBy(*block).agg(F.min_by(column, _position(order)).alias(column))
+        reaching = next_after(starts, column, keys, [finest], coarser, "_following")
+        entering = reaching.select(*block, F.col("_following").alias(column))
+        df = _with_entering_row(df, entering, 1)
+        ordering = ["_side", *ordering]
+    followed = df.withColumn(
+        name, F.lead(column).over(Window.partitionBy(*block).orderBy(*ordering))
+    )
+    return followed.filter("_side = 0").drop("_side") if levels else followed
 
 
 def asof_join(left, right, keys, left_on, right_on, columns, width=BLOCK_ROWS):
@@ -129,26 +128,31 @@ def asof_join(left, right, keys, left_on, right_on, columns, width=BLOCK_ROWS):
     ``right_on`` is not after ``left_on``; nulls where there is none.
 
     Both sides meet in one union, so neither is broadcast and the plan is the
-    same for a short and a long history.
+    same for a short and a long history. A block holds at most ``width`` distinct
+    positions.
     """
-    carried = F.struct(*columns)
-    union = left.select(
-        *keys,
-        F.col(left_on).alias("_at"),
-        F.lit(1).alias("_side"),
-        F.struct(*left.columns).alias("_row"),
-        F.lit(None).cast(right.select(carried.alias("_c")).schema["_c"].dataType).alias("_c"),
-    ).unionByName(
-        right.select(
-            *keys,
-            F.col(right_on).alias("_at"),
-            F.lit(0).alias("_side"),
-            F.lit(None).cast(left.select(F.struct(*left.columns).alias("_r")).schema["_r"].dataType).alias("_row"),
-            carried.alias("_c"),
+    def side(frame, at, number, **filled):
+        return frame.select(
+            *keys, F.col(at).alias("_at"), F.lit(number).alias("_right_first"),
+            *[column.alias(name) for name, column in filled.items()],
         )
+
+    both = side(right, right_on, 0, _c=F.struct(*columns)).unionByName(
+        side(left, left_on, 1, _row=F.struct(*left.columns)), allowMissingColumns=True
     )
-    blocked = union.withColumn("_block", block_of("_at", width))
-    filled = carry_forward(blocked, ["_c"], keys, ["_at", "_side"], ["_block"])
-    return filled.filter(F.col("_side") == 1).select(
+    blocked = both.withColumn("_block", block_of("_at", width))
+    order = ["_at", "_right_first"]
+    filled = carry_forward(blocked, ["_c"], keys, order, ["_block"])
+    return filled.filter("_right_first = 1").select(
         "_row.*", *[F.col(f"_c.{c}").alias(c) for c in columns]
     )
+
+
+def latest_rows(df, keys, order, columns):
+    """``columns`` of the row with the largest ``order`` per ``keys``.
+
+    ``order`` is unique within a key. Only it and the keys are aggregated, which
+    needs no sort; the row itself is then picked out of a second scan.
+    """
+    newest = df.groupBy(*keys).agg(F.max(order).alias(order))
+    return df.select(*keys, order, *columns).join(newest, [*keys, order])

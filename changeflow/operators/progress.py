@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from changeflow.operators.greedy import greedy_scan
-from changeflow.operators.ordered import BLOCK_ROWS, block_of, running_total
+from changeflow.operators.greedy import CHUNK_ROWS, greedy_scan
+from changeflow.operators.ordered import BLOCK_ROWS, block_of, latest_rows, running_total
 
 #: Fixed value: rows that fill a micro-batch.
 BULK_SIZE = 100
@@ -11,21 +11,12 @@ BULK_SIZE = 100
 
 def latest_position(positions, keys=("server_uuid",)):
     """The last position of each stream: the last writer wins."""
-    keys = list(keys)
-    return (
-        positions.groupBy(*keys)
-        .agg(
-            F.max("seq").alias("seq"),
-            F.max_by("binlog_file", "seq").alias("binlog_file"),
-            F.max_by("binlog_pos", "seq").alias("binlog_pos"),
-        )
-        .select(*keys, "seq", "binlog_file", "binlog_pos")
-    )
+    return latest_rows(positions, list(keys), "seq", ["binlog_file", "binlog_pos"])
 
 
 def latest_gtid(saved, keys=("server_uuid",)):
     """The last saved transaction id of each stream."""
-    return saved.groupBy(*keys).agg(F.max_by("gtid_set", "seq").alias("gtid_set"))
+    return latest_rows(saved, list(keys), "seq", ["gtid_set"]).drop("seq")
 
 
 def progress_info(positions, saved, keys=("server_uuid",)):
@@ -83,7 +74,7 @@ def backlog_by_second(queue_events, keys=(), span=3600):
 
 
 def micro_batches(
-    row_events, weight, keys=(), bulk_size=BULK_SIZE, tick=1, width=BLOCK_ROWS,
+    row_events, weight, keys=(), bulk_size=BULK_SIZE, tick=1, width=CHUNK_ROWS,
     checkpoints=None,
 ):
     """The flushes of the row buffer, one row per micro-batch.
@@ -110,17 +101,17 @@ def micro_batches(
         )
     points = points.withColumns(
         {
-            "tick": F.floor(F.col("ts_s") / F.lit(tick)).cast("bigint"),
+            "tick_s": block_of("ts_s", tick),
             "_block": block_of("seq", width),
         }
     )
     scanned = greedy_scan(
-        points, [*keys, "tick"], ["seq", "_is_rows"], "_block", bulk_size,
+        points, [*keys, "tick_s"], ["seq", "_is_rows"], "_block", bulk_size,
         strict=False, weight="_weight", force=force,
     )
     return (
         scanned.filter("_is_rows = 1")
-        .groupBy(*keys, "tick", "fired_before")
+        .groupBy(*keys, "tick_s", "fired_before")
         .agg(
             F.min("seq").alias("first_seq"),
             F.max("seq").alias("last_seq"),

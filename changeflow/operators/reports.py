@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from changeflow.operators.catalog import TABLE
-from changeflow.operators.ordered import block_of, next_after
+from changeflow.operators.ordered import block_of, next_after, next_multiple
 from changeflow.operators.progress import backlog_by_second
 from changeflow.operators.rows import event_rows
 from changeflow.schemas import ROW_ACTIONS
@@ -72,9 +72,16 @@ def ddl_report(catalog, ddl_changes):
 
 
 def component_state(state_changes):
-    """The current state of each component."""
-    return state_changes.groupBy("component").agg(
-        F.max_by("state", F.struct("ts_s", "seq")).alias("state")
+    """The current state of each component.
+
+    The last change of a second first, then the last second: both aggregates
+    have fixed-width buffers and need no sort.
+    """
+    return (
+        state_changes.groupBy("component", "ts_s")
+        .agg(F.max_by("state", "seq").alias("state"))
+        .groupBy("component")
+        .agg(F.max_by("state", "ts_s").alias("state"))
     )
 
 
@@ -85,10 +92,9 @@ def sample_backlog(queue_events, interval=2, keys=()):
     made from these spans where they lie, not from one list of all times.
     """
     keys = list(keys)
-    tick = F.ceil(F.col("ts_s") / F.lit(interval)).cast("bigint") * interval
     at_tick = (
         backlog_by_second(queue_events, keys)
-        .groupBy(*keys, tick.alias("tick_s"))
+        .groupBy(*keys, next_multiple("ts_s", interval).alias("tick_s"))
         .agg(F.max_by("backlog", "ts_s").alias("backlog"))
         .withColumn("_span", block_of("tick_s", 3600 * interval))
     )

@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from changeflow.operators.greedy import greedy_scan
+from changeflow.operators.greedy import CHUNK_ROWS, greedy_scan
 from changeflow.operators.ordered import block_of
 
 #: Seconds between saved checkpoints, seconds of alert silence.
@@ -14,7 +14,7 @@ SILENCE_GAP = 1800
 
 def throttle(
     events, keys, time, order, gap, strict, start=None, force=None, succeeded=None,
-    chunk_seconds=1 << 16,
+    chunk_seconds=CHUNK_ROWS,
 ):
     """Rows of ``events`` kept by a rate limit per ``keys``.
 

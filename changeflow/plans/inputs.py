@@ -60,7 +60,7 @@ def changes_of(events):
             F.concat(
                 F.lit("bin."),
                 F.lpad(
-                    (F.floor(F.col("event_id") / EVENTS_PER_FILE) + 1).cast("string"), 6, "0"
+                    F.expr(f"event_id div {EVENTS_PER_FILE} + 1").cast("string"), 6, "0"
                 ),
             ).alias("binlog_file"),
             (4 + 40 * (F.col("event_id") % EVENTS_PER_FILE)).alias("binlog_pos"),
@@ -120,7 +120,7 @@ def catalog(spark):
     return (
         spark.range(12)
         .select(
-            F.concat(F.lit("db"), F.floor(F.col("id") / 4).cast("string")).alias("schema_name"),
+            F.concat(F.lit("db"), F.expr("id div 4").cast("string")).alias("schema_name"),
             F.concat(F.lit("t"), (F.col("id") % 4).cast("string")).alias("table_name"),
             F.when(F.col("id") % 4 == 3, with_extra).otherwise(columns).alias("columns"),
             F.lit(0).cast("bigint").alias("valid_from"),

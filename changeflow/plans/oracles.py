@@ -118,9 +118,9 @@ def _with(ctes, select, recursive=False):
 
 def _batches(keys, items):
     """Walk each tick's items one by one, closing a batch when it is full."""
-    on = " AND ".join(f"i.{k} = w.{k}" for k in [*keys, "tick"])
-    part = ", ".join([*keys, "tick"])
-    walked = ", ".join(f"i.{k}" for k in [*keys, "tick"])
+    on = " AND ".join(f"i.{k} = w.{k}" for k in [*keys, "tick_s"])
+    part = ", ".join([*keys, "tick_s"])
+    walked = ", ".join(f"i.{k}" for k in [*keys, "tick_s"])
     return f""",
 items AS ({items}),
 ordered AS (
@@ -143,10 +143,10 @@ SELECT {part}, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_events
 FROM walk WHERE is_rows GROUP BY {part}, batch"""
 
 
-ROW_ITEMS = """SELECT server_uuid, ts_s // 86400 AS tick, seq, true AS is_rows, n_rows AS weight
+ROW_ITEMS = """SELECT server_uuid, ts_s - ts_s % 86400 AS tick_s, seq, true AS is_rows, n_rows AS weight
   FROM log WHERE action <> 'ddl'"""
 SAVED_ITEMS = ROW_ITEMS + """
-  UNION ALL SELECT server_uuid, ts_s // 86400, seq, false, 0 FROM checkpoints"""
+  UNION ALL SELECT server_uuid, ts_s - ts_s % 86400, seq, false, 0 FROM checkpoints"""
 
 MESSAGES = """,
 messages AS (
@@ -421,4 +421,12 @@ SELECT 'log' AS topic, CAST(seq AS VARCHAR) AS key, ts_s AS sent_s,
        CAST(new_cents AS VARCHAR) AS cents
 FROM audited WHERE outcome = 'delivered'"""),
     "q_sink_roundtrip": _with(AUDIT, ENVELOPE),
+    "q_stream_relay": _with(AUDIT, ENVELOPE),
+    "q_stream_dml_counts": _with(AUDIT, f"""
+SELECT schema_name, table_name, {COUNTS} FROM audited WHERE outcome = 'delivered'
+GROUP BY schema_name, table_name"""),
+    "q_stream_checkpoints": _with(LOG + KEPT, """
+SELECT seq, ts_s, server_uuid, server_uuid || ':' || CAST(seq AS VARCHAR) AS gtid_set, force
+FROM checkpoints""", True),
+    "q_stream_silence": _with(SILENCE, "", True),
 }

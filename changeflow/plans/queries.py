@@ -12,7 +12,7 @@ from changeflow.functions import (
 from changeflow.operators import alerts, catalog, envelope, filters, progress, reports, rows
 from changeflow.operators.throttle import silence_alerts, throttle_checkpoints
 from changeflow.plans import inputs
-from changeflow.session import scratch_path
+from changeflow.session import scratch_path, written
 from changeflow.sources import (
     bootstrap,
     catalog_scan,
@@ -58,9 +58,8 @@ def _audited(spark, sf_dir):
 
 
 def _checkpoints(spark, sf_dir):
-    return throttle_checkpoints(
-        inputs.gtids(spark, sf_dir), gap=inputs.CHECKPOINT_GAP_S
-    )
+    gtids = written(inputs.gtids(spark, sf_dir), "gtids")
+    return throttle_checkpoints(gtids, gap=inputs.CHECKPOINT_GAP_S)
 
 
 def _health(spark, sf_dir):
@@ -194,12 +193,12 @@ def q_allow_ddl_relaxed(spark, sf_dir):
 @query
 def q_route_kinds(spark, sf_dir):
     log = inputs.change_log(spark, sf_dir).drop("row_images")
-    messages = rows.queue_messages(inputs.numbered(log))
+    messages = written(rows.queue_messages(inputs.numbered(log)), "messages", ["kind"])
     branches = [filters.route(messages, kind) for kind in ("position", "gtid", "ddl", "rows")]
     routed = branches[0]
     for branch in branches[1:]:
         routed = routed.unionByName(branch)
-    return routed
+    return routed.select("seq", "ordinal", "kind", "payload")
 
 
 @query
@@ -410,13 +409,13 @@ def q_latest_position(spark, sf_dir):
 
 @query
 def q_latest_gtid(spark, sf_dir):
-    return progress.latest_gtid(_checkpoints(spark, sf_dir))
+    return progress.latest_gtid(written(_checkpoints(spark, sf_dir), "saved"))
 
 
 @query
 def q_progress_info(spark, sf_dir):
     return progress.progress_info(
-        inputs.change_log(spark, sf_dir), _checkpoints(spark, sf_dir)
+        inputs.change_log(spark, sf_dir), written(_checkpoints(spark, sf_dir), "saved")
     )
 
 
@@ -436,7 +435,7 @@ def q_micro_batches_saved(spark, sf_dir):
     log = inputs.change_log(spark, sf_dir).filter("action <> 'ddl'")
     return progress.micro_batches(
         log, "n_rows", ["server_uuid"], tick=inputs.BATCH_TICK_S,
-        checkpoints=_checkpoints(spark, sf_dir),
+        checkpoints=written(_checkpoints(spark, sf_dir), "saved"),
     )
 
 
@@ -476,7 +475,7 @@ def q_alert_sends(spark, sf_dir):
     sends = alerts.fan_out(_health(spark, sf_dir)).select(
         "channel", "ts_s", (F.col("ts_s") % 11 != 0).alias("send_ok")
     )
-    return silence_alerts(sends, order="ts_s", succeeded="send_ok")
+    return silence_alerts(written(sends, "sends"), order="ts_s", succeeded="send_ok")
 
 
 @query
@@ -487,7 +486,7 @@ def q_alert_render(spark, sf_dir):
 # Envelopes and sinks
 
 
-def _envelope_fields(messages):
+def envelope_fields(messages):
     def field(path):
         return F.get_json_object("value", path)
 
@@ -508,7 +507,7 @@ def _envelope_fields(messages):
 
 @query
 def q_row_envelope(spark, sf_dir):
-    return _envelope_fields(envelope.delivered(_audited(spark, sf_dir)))
+    return envelope_fields(envelope.delivered(_audited(spark, sf_dir)))
 
 
 @query
@@ -540,4 +539,4 @@ def q_sink_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "delivered")
     sent = envelope.delivered(_audited(spark, sf_dir)).select("seq", "row_index", "value")
     sinks.write_batch(sent, path, 0)
-    return _envelope_fields(spark.read.parquet(path))
+    return envelope_fields(spark.read.parquet(path))

@@ -46,6 +46,17 @@ def shared_dir(spark):
     return base
 
 
+def written(df, name, partition_by=()):
+    """Write a table that several steps read to the shared folder, and read it back.
+
+    Unlike a cache it survives lost executors, and its size is known to the plans
+    that read it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch_path(spark, name):
     """A path under the shared folder that no other call returns."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
