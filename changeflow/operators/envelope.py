@@ -35,14 +35,14 @@ def row_envelope(resolved):
 
 
 def ddl_envelope(ddl_events):
-    """Add ``value``, the JSON body of a DDL message; bytes show as base64."""
+    """Add ``value``, the JSON body of a DDL message; JSON shows bytes as base64."""
     body = F.struct(
         F.col("action").alias("Action"),
         F.col("schema_name").alias("Schema"),
         F.col("query").alias("Query"),
         F.col("error_code").alias("ErrorCode"),
         F.col("execution_time").alias("ExecutionTime"),
-        F.base64("status_vars").alias("StatusVars"),
+        F.col("status_vars").alias("StatusVars"),
     )
     return ddl_events.withColumn("value", F.to_json(body, _JSON))
 

@@ -1,0 +1,183 @@
+"""The greedy scan against a plain walk, for any split into chunks."""
+
+import random
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from changeflow.operators import greedy
+from changeflow.operators.progress import micro_batches
+from changeflow.operators.throttle import silence_alerts, throttle, throttle_checkpoints
+
+
+def walk(position, force, moves, gap, strict, anchor):
+    """One row after the other; returns (passes, fired_before) per row."""
+    out, count = [], 0
+    for x, forced, moving in zip(position, force, moves):
+        distance = None if anchor is None else x - anchor
+        passes = distance is None or (distance > gap if strict else distance >= gap)
+        out.append((passes, count))
+        if (passes or forced) and moving:
+            anchor, count = x, count + 1
+    return out
+
+
+def in_chunks(values, force, moves, sizes, gap, strict, relative, start):
+    """The three passes of the scan, on frames, without Spark."""
+    n = len(values)
+    chunk = np.repeat(np.arange(len(sizes)), sizes)[:n]
+    frame = pd.DataFrame(
+        {
+            "_group": "", "_chunk": chunk, "o": np.arange(n), "_x": values,
+            "_force": force, "_moves": moves,
+        }
+    )
+    parts = [part for _, part in frame.groupby("_chunk")]
+    summaries = pd.concat(
+        [greedy._summarise(p, ["o"], gap, strict, relative, start) for p in parts]
+    )
+    carries = pd.concat(greedy._chain_summaries([summaries], start, strict))
+    replayed = pd.concat(
+        [
+            greedy._replay(
+                p, carries[carries["_chunk"] == p["_chunk"].iat[0]], ["o"], gap, strict,
+                relative, ["o"],
+            )
+            for p in parts
+        ]
+    )
+    return list(zip(replayed["passes"].tolist(), replayed["fired_before"].tolist()))
+
+
+points = st.lists(
+    st.tuples(st.integers(0, 6), st.booleans(), st.booleans()), min_size=1, max_size=60
+)
+cuts = st.lists(st.integers(1, 9), min_size=60, max_size=60)
+
+
+@settings(max_examples=400, deadline=None)
+@given(points, cuts, st.integers(1, 12), st.booleans(), st.sampled_from(["never", "first", "given"]),
+       st.booleans(), st.booleans())
+def test_time_scan(rows, sizes, gap, strict, start, with_force, with_moves):
+    position = np.cumsum([step for step, _, _ in rows]) + 100
+    force = [f and with_force for _, f, _ in rows]
+    moves = [m or not with_moves for _, _, m in rows]
+    anchor = {"never": None, "first": int(position[0]), "given": 104}[start]
+    code = {"never": greedy.NEVER, "first": "first", "given": 104}[start]
+    assert in_chunks(position, force, moves, sizes, gap, strict, False, code) == walk(
+        position.tolist(), force, moves, gap, strict, anchor
+    )
+
+
+@settings(max_examples=400, deadline=None)
+@given(points, cuts, st.integers(1, 20), st.booleans())
+def test_weight_scan(rows, sizes, gap, with_force):
+    weight = np.array([step for step, _, _ in rows])
+    force = [f and with_force for _, f, _ in rows]
+    moves = [True] * len(rows)
+    assert in_chunks(weight, force, moves, sizes, gap, False, True, 0) == walk(
+        np.cumsum(weight).tolist(), force, moves, gap, False, 0
+    )
+
+
+def test_gap_must_be_positive(spark):
+    with pytest.raises(ValueError):
+        throttle(spark.range(1), [], "id", "id", 0, strict=False)
+
+
+def _kept_by_walk(rows, gap, strict, start, force=False, ok=False):
+    kept, anchors = [], {}
+    for key, seq, ts, flag in sorted(rows, key=lambda r: (r[2], r[1])):
+        if start == "first":
+            anchors.setdefault(key, ts)
+        last = anchors.get(key)
+        passes = last is None or (ts - last > gap if strict else ts - last >= gap)
+        if passes or (force and flag):
+            kept.append((key, seq))
+            if not ok or flag:
+                anchors[key] = ts
+    return sorted(kept, key=str)
+
+
+def _random_rows(seed, n=600):
+    """Two thirds of the rows share one key; many share a second."""
+    rng = random.Random(seed)
+    ts = [rng.randrange(0, 500) for _ in range(n)]
+    keys = ["hot", "hot", "cold", None]
+    return [
+        (keys[rng.randrange(4)], i, 1000 + t, rng.random() < 0.3)
+        for i, t in enumerate(sorted(ts))
+    ]
+
+
+@pytest.mark.parametrize("chunk", [7, 50, 1 << 16])
+def test_throttle_with_force(spark, chunk):
+    rows = _random_rows(1)
+    df = spark.createDataFrame(rows, "k string, seq long, ts_s long, flag boolean")
+    df = df.withColumn("flag", F.col("flag") & (F.col("seq") % 10 == 0))
+    rows = [(k, s, t, f and s % 10 == 0) for k, s, t, f in rows]
+    kept = throttle(
+        df, ["k"], "ts_s", "seq", 9, strict=True, start="first", force="flag",
+        chunk_seconds=chunk,
+    )
+    got = sorted(((r.k, r.seq) for r in kept.collect()), key=str)
+    assert got == _kept_by_walk(rows, 9, True, "first", force=True)
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 16])
+def test_throttle_with_failures(spark, chunk):
+    rows = _random_rows(2)
+    df = spark.createDataFrame(rows, "k string, seq long, ts_s long, flag boolean")
+    kept = throttle(
+        df, ["k"], "ts_s", "seq", 15, strict=False, succeeded="flag", chunk_seconds=chunk
+    )
+    got = sorted(((r.k, r.seq) for r in kept.collect()), key=str)
+    assert got == _kept_by_walk(rows, 15, False, None, ok=True)
+
+
+def test_gap_of_exactly_three_seconds_is_not_saved(spark):
+    rows = [("s", 1, 100, False), ("s", 2, 103, False), ("s", 3, 104, False), ("s", 4, 107, False)]
+    df = spark.createDataFrame(rows, "server_uuid string, seq long, ts_s long, force boolean")
+    assert [r.seq for r in throttle_checkpoints(df).collect()] == [3]
+    assert sorted(r.seq for r in throttle_checkpoints(df, start=96).collect()) == [1, 3]
+
+
+def test_silence_of_exactly_half_an_hour_is_over(spark):
+    rows = [("c", 1, 0), ("c", 2, 1799), ("c", 3, 1800), ("c", 4, 3599), ("c", 5, 3600)]
+    df = spark.createDataFrame(rows, "channel string, seq long, ts_s long")
+    assert sorted(r.seq for r in silence_alerts(df).collect()) == [1, 3, 5]
+
+
+def _batches_by_walk(events, bulk, tick, saved):
+    out, held, at_tick = [], [], None
+    for seq, ts, n in events:
+        if seq in saved or ts // tick != at_tick:
+            if held:
+                out.append(held)
+            held, at_tick = [], ts // tick
+        held.append((seq, n))
+        if sum(w for _, w in held) >= bulk:
+            out.append(held)
+            held = []
+    if held:
+        out.append(held)
+    return sorted((b[0][0], b[-1][0], len(b), sum(w for _, w in b)) for b in out)
+
+
+@pytest.mark.parametrize("width", [4, 32, 1 << 16])
+@pytest.mark.parametrize("with_saved", [False, True])
+def test_micro_batches(spark, width, with_saved):
+    rng = random.Random(3)
+    events = [(i, 50 + i // 40, rng.randrange(0, 5)) for i in range(500)]
+    saved = {i for i in range(500) if rng.random() < 0.05} if with_saved else set()
+    df = spark.createDataFrame(events, "seq long, ts_s long, n long")
+    checkpoints = df.filter(F.col("seq").isin(*saved)).drop("n") if with_saved else None
+    got = micro_batches(df, "n", bulk_size=11, tick=3, width=width, checkpoints=checkpoints)
+    rows = sorted(
+        (r.first_seq, r.last_seq, r.n_events, r.n_rows) for r in got.collect()
+    )
+    assert rows == _batches_by_walk(events, 11, 3, saved)
