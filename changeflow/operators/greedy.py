@@ -12,9 +12,10 @@ in parallel with their known incoming anchor.
 """
 
 import sys
+from bisect import bisect_left, bisect_right
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 NEVER = -(1 << 62)
 
 #: Points of a key a task takes at a time.
-CHUNK_ROWS = 1 << 16
+CHUNK_ROWS = 1 << 18
 
 _GROUP, _CHUNK = "_group", "_chunk"
 
@@ -91,71 +92,76 @@ class Chain:
 
 
 def _in_order(chunk, order, relative):
-    chunk = chunk.sort_values(order, kind="stable", ignore_index=True)
-    values = chunk["_x"].to_numpy(np.int64)
+    chunk = chunk.sort_by([(c, "ascending") for c in order])
+    values = chunk["_x"].to_numpy()
     position = np.cumsum(values) if relative else values
-    return chunk, position, np.flatnonzero(chunk["_moves"].to_numpy(bool))
+    return chunk, position, chunk["_force"].to_numpy(), np.flatnonzero(chunk["_moves"].to_numpy())
 
 
 def _summarise(chunk, order, gap, strict, relative, start):
     """One row per chunk: the step function from incoming to outgoing anchor."""
-    chunk, position, moving = _in_order(chunk, order, relative)
+    chunk, position, force, moving = _in_order(chunk, order, relative)
     thresholds = outs = fires = np.array([], dtype=np.int64)
     if len(moving):
-        force = chunk["_force"].to_numpy(bool)[moving]
         latest = 0 if relative else position[moving[0]]
         if start != "first":
             latest = max(latest, start)
-        chain = Chain(position[moving], force, gap, strict)
+        chain = Chain(position[moving], force[moving], gap, strict)
         thresholds, outs, fires = chain.steps(latest)
-    return pd.DataFrame(
+    longs = pa.list_(pa.int64())
+    return pa.table(
         {
-            _GROUP: chunk[_GROUP].iloc[:1],
-            _CHUNK: chunk[_CHUNK].iloc[:1],
-            "first_x": [position[0]],
-            "span": [position[-1] if relative else 0],
-            "thresholds": [thresholds],
-            "outs": [outs],
-            "fires": [fires],
+            _GROUP: chunk[_GROUP].slice(0, 1),
+            _CHUNK: chunk[_CHUNK].slice(0, 1),
+            "first_x": pa.array([position[0]], pa.int64()),
+            "span": pa.array([position[-1] if relative else 0], pa.int64()),
+            "thresholds": pa.array([thresholds], longs),
+            "outs": pa.array([outs], longs),
+            "fires": pa.array([fires], longs),
         }
     )
 
 
 def _chain_summaries(batches, start, strict):
     """Carry anchor and count through the summaries; state is two numbers."""
-    side = "right" if strict else "left"
+    find = bisect_right if strict else bisect_left
     group = anchor = count = None
     for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            if row[0] != group:
-                group, count = row[0], 0
-                anchor = row.first_x if start == "first" else start
-            out.append((group, row[1], anchor, count))
-            entered = int(np.searchsorted(row.thresholds, anchor, side=side))
-            if entered < len(row.thresholds):
-                anchor = int(row.outs[entered])
-                count += int(row.fires[entered])
+        anchors, counts = [], []
+        for row in batch.to_pylist():
+            if row[_GROUP] != group:
+                group, count = row[_GROUP], 0
+                anchor = row["first_x"] if start == "first" else start
+            anchors.append(anchor)
+            counts.append(count)
+            entered = find(row["thresholds"], anchor)
+            if entered < len(row["thresholds"]):
+                anchor = row["outs"][entered]
+                count += row["fires"][entered]
             if anchor != NEVER:
-                anchor -= row.span
-        yield pd.DataFrame(out, columns=[_GROUP, _CHUNK, "_anchor", "_count"])
+                anchor -= row["span"]
+        yield pa.RecordBatch.from_arrays(
+            [batch[_GROUP], batch[_CHUNK], pa.array(anchors, pa.int64()), pa.array(counts, pa.int64())],
+            names=[_GROUP, _CHUNK, "_anchor", "_count"],
+        )
 
 
 def _replay(chunk, carry, order, gap, strict, relative, columns):
-    chunk, position, moving = _in_order(chunk, order, relative)
-    anchor = int(carry["_anchor"].iat[0])
-    fires = np.zeros(len(chunk), dtype=bool)
+    chunk, position, force, moving = _in_order(chunk, order, relative)
+    anchor = carry["_anchor"][0].as_py()
+    fires = np.zeros(len(position), dtype=bool)
     if len(moving):
-        force = chunk["_force"].to_numpy(bool)[moving]
-        chain = Chain(position[moving], force, gap, strict)
+        chain = Chain(position[moving], force[moving], gap, strict)
         fires[moving[chain.fired(anchor)]] = True
     before = np.cumsum(fires) - fires
     # A row that does not move the anchor is tested against the last one that did.
     distance = position - np.append(anchor, position[fires])[before]
-    out = chunk[columns].copy()
-    out["passes"] = distance > gap if strict else distance >= gap
-    out["fired_before"] = int(carry["_count"].iat[0]) + before
-    return out
+    passes = distance > gap if strict else distance >= gap
+    return (
+        chunk.select(columns)
+        .append_column("passes", pa.array(passes))
+        .append_column("fired_before", pa.array(carry["_count"][0].as_py() + before, pa.int64()))
+    )
 
 
 def greedy_scan(
@@ -184,20 +190,18 @@ def greedy_scan(
     columns = points.columns
     true, false = F.lit(True), F.lit(False)
     prepared = (
-        points.withColumn(_GROUP, F.to_json(F.struct(*keys)) if keys else F.lit(""))
+        points.withColumn(_GROUP, F.struct(*keys) if keys else F.struct(F.lit(0)))
         .withColumn(_CHUNK, F.col(chunk).cast("bigint"))
         .withColumn("_x", F.col(weight if relative else position).cast("bigint"))
         .withColumn("_force", F.coalesce(F.col(force), false) if force else false)
         .withColumn("_moves", F.coalesce(F.col(moves), false) if moves else true)
     )
     label = [_GROUP, _CHUNK]
-    label_type = T.StructType(
-        [T.StructField(_GROUP, T.StringType()), T.StructField(_CHUNK, T.LongType())]
-    )
 
     def with_label(*fields):
         return T.StructType(
-            label_type.fields + [T.StructField(name, kind) for name, kind in fields]
+            [prepared.schema[name] for name in label]
+            + [T.StructField(name, kind) for name, kind in fields]
         )
 
     long, longs = T.LongType(), T.ArrayType(T.LongType())
@@ -212,19 +216,19 @@ def greedy_scan(
 
     # Both passes over the points group by the same columns of the same plan, so
     # the second one reuses the shuffle of the first.
-    summaries = prepared.groupBy(*label).applyInPandas(
-        lambda pdf: _summarise(pdf, order, gap, strict, relative, start), summary_type
+    summaries = prepared.groupBy(*label).applyInArrow(
+        lambda chunk: _summarise(chunk, order, gap, strict, relative, start), summary_type
     )
     carries = (
         summaries.repartition(_GROUP)
         .sortWithinPartitions(*label)
-        .mapInPandas(lambda batches: _chain_summaries(batches, start, strict), carry_type)
+        .mapInArrow(lambda batches: _chain_summaries(batches, start, strict), carry_type)
     )
     return (
         prepared.groupBy(*label)
         .cogroup(carries.groupBy(*label))
-        .applyInPandas(
-            lambda pdf, carry: _replay(pdf, carry, order, gap, strict, relative, columns),
+        .applyInArrow(
+            lambda chunk, carry: _replay(chunk, carry, order, gap, strict, relative, columns),
             result_type,
         )
     )

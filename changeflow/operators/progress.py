@@ -84,7 +84,7 @@ def micro_batches(
     transaction ids), a saved id also closes the batch before its own event.
     """
     keys = list(keys)
-    columns = [*keys, "seq", "ts_s"]
+    columns = [*keys, "seq", block_of("ts_s", tick).alias("tick_s")]
     points = row_events.select(
         *columns, F.lit(1).alias("_is_rows"), F.col(weight).cast("bigint").alias("_weight")
     )
@@ -99,12 +99,7 @@ def micro_batches(
                 F.lit(True).alias(force),
             )
         )
-    points = points.withColumns(
-        {
-            "tick_s": block_of("ts_s", tick),
-            "_block": block_of("seq", width),
-        }
-    )
+    points = points.withColumn("_block", block_of("seq", width))
     scanned = greedy_scan(
         points, [*keys, "tick_s"], ["seq", "_is_rows"], "_block", bulk_size,
         strict=False, weight="_weight", force=force,

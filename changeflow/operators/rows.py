@@ -1,17 +1,21 @@
 """From change events to row messages, values and control messages."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeflow.functions import gtid_text, named_values, table_key
 from changeflow.schemas import ROW_ACTIONS
 
 
 def single_images(images):
-    """Insert and delete events: every image is a new row."""
+    """Insert and delete events: every image is a new row.
+
+    The old row is a null of the image's own type, be its values text or VARIANT.
+    """
     return F.transform(
         images,
         lambda image: F.struct(
-            F.lit(None).cast("array<string>").alias("old_row"), image.alias("new_row")
+            F.when(F.lit(False), image).alias("old_row"), image.alias("new_row")
         ),
     )
 
@@ -77,12 +81,17 @@ def explode_values(valued, which="values"):
 
 
 def changed_columns(resolved):
-    """The columns of an update whose value differs between old and new row."""
+    """The columns of an update whose value differs between old and new row.
+
+    VARIANT values, which have no equality, are compared as their JSON text.
+    """
+    value_type = resolved.schema["new_row"].dataType.elementType
+    text = F.to_json if isinstance(value_type, T.VariantType) else F.col
     entry = F.explode(F.arrays_zip("columns", "old_row", "new_row")).alias("_c")
     return (
         resolved.filter(F.col("action") == "update")
         .select("seq", "row_index", entry)
-        .filter(~F.col("_c.old_row").eqNullSafe(F.col("_c.new_row")))
+        .filter(~text("_c.old_row").eqNullSafe(text("_c.new_row")))
         .select(
             "seq",
             "row_index",

@@ -79,10 +79,11 @@ def _saved_checkpoints(spark, sf_dir):
 
 @query
 def q_change_events(spark, sf_dir):
-    return inputs.numbered(inputs.change_log(spark, sf_dir)).select(
-        "seq", "ts_s", "server_uuid", "gno", "binlog_file", "binlog_pos",
+    log = inputs.change_log(spark, sf_dir).select(
+        "seq", "ts_s", "server_uuid", "binlog_file", "binlog_pos",
         "schema_name", "table_name", "action", F.size("row_images").alias("n_images"),
     )
+    return inputs.numbered(log)
 
 
 @query

@@ -11,6 +11,9 @@ ROCKSDB_PROVIDER = (
 )
 
 
+_LOCAL = []
+
+
 def build_session(app_name="changeflow", master=None, **conf):
     """A session with the settings the operators are planned for.
 
@@ -36,14 +39,12 @@ def shared_dir(spark):
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Every executor must see it. Only a session without the setting (a test on
-    one machine) gets a temporary folder, which is then recorded so that later
-    calls agree on it.
+    one machine) gets a temporary folder, one for the process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="changeflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if not base and not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="changeflow-"))
+    return base or _LOCAL[0]
 
 
 def written(df, name, partition_by=()):

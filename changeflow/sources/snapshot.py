@@ -4,11 +4,17 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from changeflow.functions import table_key
+from changeflow.functions import bytes_to_text, table_key
 
 
-def snapshot_rows(table, schema_name, table_name, ts_s=0):
-    """Every row of a table as an insert message."""
+def snapshot_rows(table, schema_name, table_name, ts_s=0, value_type="string"):
+    """Every row of a table as an insert message.
+
+    ``value_type`` is that of the change log's row values: ``string`` or
+    ``variant``. Bytes become text either way.
+    """
+    table = bytes_to_text(table)
+    values_type = f"array<{value_type}>"
     return table.select(
         F.lit(0).alias("phase"),
         F.lit(None).cast("bigint").alias("seq"),
@@ -16,8 +22,8 @@ def snapshot_rows(table, schema_name, table_name, ts_s=0):
         F.lit(schema_name).alias("schema_name"),
         F.lit(table_name).alias("table_name"),
         F.lit("insert").alias("action"),
-        F.lit(None).cast("array<string>").alias("old_row"),
-        F.array(*[F.col(c).cast("string") for c in table.columns]).alias("new_row"),
+        F.lit(None).cast(values_type).alias("old_row"),
+        F.array(*[F.col(c).cast(value_type) for c in table.columns]).alias("new_row"),
     )
 
 
@@ -37,8 +43,9 @@ def bootstrap(tables_by_name, rows, databases=(), tables=(), ts_s=0):
     ``tables_by_name`` maps ``(schema, table)`` to a DataFrame. Order the result
     by ``(phase, seq)``; snapshot rows have no order among themselves.
     """
+    value_type = rows.schema["new_row"].dataType.elementType.simpleString()
     dumps = [
-        snapshot_rows(frame, schema, name, ts_s)
+        snapshot_rows(frame, schema, name, ts_s, value_type)
         for (schema, name), frame in tables_by_name.items()
         if in_scope(schema, name, databases, tables)
     ]

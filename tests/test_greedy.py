@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,27 +30,28 @@ def in_chunks(values, force, moves, sizes, gap, strict, relative, start):
     """The three passes of the scan, on frames, without Spark."""
     n = len(values)
     chunk = np.repeat(np.arange(len(sizes)), sizes)[:n]
-    frame = pd.DataFrame(
+    table = pa.table(
         {
-            "_group": "", "_chunk": chunk, "o": np.arange(n), "_x": values,
-            "_force": force, "_moves": moves,
+            "_group": [{"k": None}] * n, "_chunk": chunk, "o": np.arange(n),
+            "_x": np.asarray(values, dtype=np.int64), "_force": force, "_moves": moves,
         }
     )
-    parts = [part for _, part in frame.groupby("_chunk")]
-    summaries = pd.concat(
-        [greedy._summarise(p, ["o"], gap, strict, relative, start) for p in parts]
-    )
-    carries = pd.concat(greedy._chain_summaries([summaries], start, strict))
-    replayed = pd.concat(
-        [
-            greedy._replay(
-                p, carries[carries["_chunk"] == p["_chunk"].iat[0]], ["o"], gap, strict,
-                relative, ["o"],
-            )
-            for p in parts
-        ]
-    )
-    return list(zip(replayed["passes"].tolist(), replayed["fired_before"].tolist()))
+    # Rows of a chunk come in any order.
+    parts = [
+        table.filter(chunk == c).sort_by([("o", "descending")]) for c in np.unique(chunk)
+    ]
+    summaries = [
+        batch
+        for p in parts
+        for batch in greedy._summarise(p, ["o"], gap, strict, relative, start).to_batches()
+    ]
+    carries = list(greedy._chain_summaries(summaries, start, strict))
+    replayed = [
+        greedy._replay(p, carry, ["o"], gap, strict, relative, ["o"])
+        for p, carry in zip(parts, carries)
+    ]
+    whole = pa.concat_tables(replayed)
+    return list(zip(whole["passes"].to_pylist(), whole["fired_before"].to_pylist()))
 
 
 points = st.lists(

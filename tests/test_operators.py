@@ -121,6 +121,32 @@ def test_bytes_to_text_reaches_nested_arrays(spark):
     assert tuple(bytes_to_text(df).first()) == ("é", ["x", None], [["y"]], 1)
 
 
+def test_typed_values_stay_typed(spark):
+    """VARIANT values reach the envelope as JSON numbers, texts and nulls."""
+    typed = changes(
+        spark,
+        ("a", "t", "update", [["1", '"x"', "null"], ["2", '"x"', "null"]]),
+        ("a", "t", "insert", [["1.5", '{"k":[1]}', "true"]]),
+    ).withColumn(
+        "row_images",
+        F.transform("row_images", lambda image: F.transform(image, lambda v: F.parse_json(v))),
+    )
+    shaped = rows.row_messages(typed)
+    known = catalog_of(spark, ("a", "t", ["n", "s", "z"]))
+    bodies = [
+        json.loads(r.value)
+        for r in envelope.delivered(envelope.audit(shaped, known)).orderBy("seq").collect()
+    ]
+    assert bodies[0]["values"] == {"n": 2, "s": "x", "z": None}
+    assert bodies[0]["oldvalues"] == {"n": 1, "s": "x", "z": None}
+    assert bodies[1]["values"] == {"n": 1.5, "s": {"k": [1]}, "z": True}
+    changed = rows.changed_columns(catalog.catalog_lookup(shaped, known)).collect()
+    assert [(r.column_name, r.new_value.toPython()) for r in changed] == [("n", 2)]
+    dump = spark.createDataFrame([(7, bytearray(b"y"))], "n long, s binary")
+    first = bootstrap({("a", "u"): dump}, shaped).filter("phase = 0").first()
+    assert [v.toPython() for v in first.new_row] == [7, "y"]
+
+
 # Resuming
 
 
