@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from changeflow.operators.filters import allowed
-from changeflow.operators.ordered import BLOCK_ROWS, asof_join
+from changeflow.operators.ordered import asof_join
 
 TABLE = ["schema_name", "table_name"]
 
@@ -69,12 +69,11 @@ def resolve_latest(changes, versions):
     return changes.join(upsert_catalog(versions), TABLE, "left")
 
 
-def resolve_as_of(changes, versions, width=BLOCK_ROWS):
+def resolve_as_of(changes, versions):
     """Changes with the schema that was valid at their own ``seq``.
 
     Resolve events before exploding their rows: all rows of an event share it.
     """
     return asof_join(
-        changes, versions, TABLE, "seq", "valid_from", ["columns", "n_cols", "valid_from"],
-        width,
+        changes, versions, TABLE, "seq", "valid_from", ["columns", "n_cols", "valid_from"]
     )

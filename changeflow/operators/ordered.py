@@ -123,7 +123,7 @@ def next_after(df, column, keys, order, levels, name):
     return followed.filter("_side = 0").drop("_side") if levels else followed
 
 
-def asof_join(left, right, keys, left_on, right_on, columns, width=BLOCK_ROWS):
+def asof_join(left, right, keys, left_on, right_on, columns, width=BLOCK_ROWS // 8):
     """Left rows with ``columns`` of the last right row of the same keys whose
     ``right_on`` is not after ``left_on``; nulls where there is none.
 
@@ -147,12 +147,3 @@ def asof_join(left, right, keys, left_on, right_on, columns, width=BLOCK_ROWS):
         "_row.*", *[F.col(f"_c.{c}").alias(c) for c in columns]
     )
 
-
-def latest_rows(df, keys, order, columns):
-    """``columns`` of the row with the largest ``order`` per ``keys``.
-
-    ``order`` is unique within a key. Only it and the keys are aggregated, which
-    needs no sort; the row itself is then picked out of a second scan.
-    """
-    newest = df.groupBy(*keys).agg(F.max(order).alias(order))
-    return df.select(*keys, order, *columns).join(newest, [*keys, order])

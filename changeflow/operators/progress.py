@@ -3,20 +3,31 @@
 from pyspark.sql import functions as F
 
 from changeflow.operators.greedy import CHUNK_ROWS, greedy_scan
-from changeflow.operators.ordered import BLOCK_ROWS, block_of, latest_rows, running_total
+from changeflow.operators.ordered import BLOCK_ROWS, block_of, running_total
 
 #: Fixed value: rows that fill a micro-batch.
 BULK_SIZE = 100
 
 
 def latest_position(positions, keys=("server_uuid",)):
-    """The last position of each stream: the last writer wins."""
-    return latest_rows(positions, list(keys), "seq", ["binlog_file", "binlog_pos"])
+    """The last position of each stream: the last writer wins.
+
+    First per log file, which aggregates numbers only and so hashes instead of
+    sorting all rows, then over the files.
+    """
+    per_file = positions.groupBy(*keys, "binlog_file").agg(
+        F.max("seq").alias("seq"), F.max_by("binlog_pos", "seq").alias("binlog_pos")
+    )
+    return per_file.groupBy(*keys).agg(
+        F.max_by("binlog_file", "seq").alias("binlog_file"),
+        F.max_by("binlog_pos", "seq").alias("binlog_pos"),
+        F.max("seq").alias("seq"),
+    )
 
 
 def latest_gtid(saved, keys=("server_uuid",)):
     """The last saved transaction id of each stream."""
-    return latest_rows(saved, list(keys), "seq", ["gtid_set"]).drop("seq")
+    return saved.groupBy(*keys).agg(F.max_by("gtid_set", "seq").alias("gtid_set"))
 
 
 def progress_info(positions, saved, keys=("server_uuid",)):

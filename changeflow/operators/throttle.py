@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from changeflow.operators.greedy import CHUNK_ROWS, greedy_scan
 from changeflow.operators.ordered import block_of
+from changeflow.session import written
 
 #: Seconds between saved checkpoints, seconds of alert silence.
 CHECKPOINT_GAP = 3
 SILENCE_GAP = 1800
 
+_LAST = (1 << 63) - 1
+
 
 def throttle(
     events, keys, time, order, gap, strict, start=None, force=None, succeeded=None,
@@ -23,46 +26,48 @@ def throttle(
     last kept one, or if ``force`` says so. With ``succeeded``, kept rows that
     failed do not start the wait.
 
-    Only the first row of a second can be kept by distance, so the scan sees one
-    row per key and second, aggregated before the shuffle.
+    Only the first row of a second can be kept by distance (or, where rows can
+    fail, those up to its first success), so the scan sees one row of numbers per
+    key and second, aggregated before the shuffle. The seconds that pass, at most
+    one per key and gap but for failures, are written to the shared folder when
+    this is called. Their size is then known: Spark broadcasts them if they are
+    under its limit, and the events are scanned again without a shuffle.
     """
     if force and succeeded:
         raise ValueError("force and succeeded exclude each other")
-    flags = [F.min(order).alias("_upto")]
-    if force:
-        flags.append(F.bool_or(F.coalesce(F.col(force), F.lit(False))).alias("_forced"))
     if succeeded:
-        # Failed rows before the first success all get their turn.
-        flags = [
-            F.min(F.when(F.col(succeeded), F.col(order))).alias("_upto"),
-            F.bool_or(F.coalesce(F.col(succeeded), F.lit(False))).alias("_ok"),
-        ]
+        ok = F.coalesce(F.col(succeeded), F.lit(False))
+        flags = {"_upto": F.min(F.when(ok, F.col(order))), "_ok": F.bool_or(ok)}
+    else:
+        flags = {"_upto": F.min(order)}
+    if force:
+        forced = F.coalesce(F.col(force), F.lit(False))
+        flags["_forced"] = F.bool_or(forced)
+    on = [*keys, time]
     seconds = (
-        events.groupBy(*keys, time)
-        .agg(*flags)
+        events.groupBy(*on)
+        .agg(*[flag.alias(name) for name, flag in flags.items()])
         .withColumn("_span", block_of(time, chunk_seconds))
     )
-    passing = (
-        greedy_scan(
-            seconds, keys, [time], "_span", gap, strict, position=time,
-            force="_forced" if force else None, moves="_ok" if succeeded else None,
-            start=start,
-        )
-        .filter("passes")
-        .select(
-            *[F.col(c).alias(f"_p_{c}") for c in [*keys, time]],
-            F.col("_upto"),
-            F.lit(True).alias("_passing"),
-        )
+    scanned = greedy_scan(
+        seconds, keys, [time], "_span", gap, strict, position=time, start=start,
+        force="_forced" if force else None, moves="_ok" if succeeded else None,
     )
-    same_second = reduce(
-        lambda a, b: a & b, [events[c].eqNullSafe(passing[f"_p_{c}"]) for c in [*keys, time]]
+    passing = written(
+        scanned.filter("passes").select(
+            *[F.col(c).alias(f"_p_{c}") for c in on],
+            F.coalesce("_upto", F.lit(_LAST)).alias("_upto"),
+        ),
+        "passing",
     )
-    within = F.col("_passing") & (
-        F.col("_upto").isNull() | (F.col(order) <= F.col("_upto"))
+    same_second = reduce(
+        lambda a, b: a & b, [events[c].eqNullSafe(passing[f"_p_{c}"]) for c in on]
     )
-    joined = events.join(passing, same_second, "left" if force else "inner")
-    kept = joined.filter(F.coalesce(within, F.lit(False)) | F.col(force) if force else within)
+    in_turn = F.col(order) <= F.col("_upto")
+    if force:
+        kept = events.join(passing, same_second, "left").filter(forced | in_turn)
+    else:
+        kept = events.join(passing, same_second).filter(in_turn)
     return kept.select(*events.columns)
 
 

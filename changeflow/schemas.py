@@ -4,7 +4,8 @@ from pyspark.sql import types as T
 
 ROW_ACTIONS = ("insert", "update", "delete")
 
-#: One row per change event. ``row_images`` holds positional values; update
+#: One row per change event. ``seq`` numbers the events of a log in order, without
+#: large gaps: blocks of ``seq`` values stand for blocks of rows. ``row_images`` holds positional values; update
 #: events alternate before and after images. Unsigned 32-bit source values
 #: (timestamps, positions) do not fit INT and are BIGINT.
 CHANGE_SCHEMA = T.StructType(

@@ -1,4 +1,19 @@
-from changeflow.streaming.relay import delivered_log, dead_letter_log, start_relay
+from changeflow.streaming.relay import (
+    current_catalog,
+    dead_letter_log,
+    delivered_log,
+    replay,
+    start_catalog,
+    start_relay,
+)
 from changeflow.streaming.stateful import throttle_stream
 
-__all__ = ["dead_letter_log", "delivered_log", "start_relay", "throttle_stream"]
+__all__ = [
+    "current_catalog",
+    "dead_letter_log",
+    "delivered_log",
+    "replay",
+    "start_catalog",
+    "start_relay",
+    "throttle_stream",
+]

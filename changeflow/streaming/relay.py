@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from changeflow.functions import gtid_text
+from changeflow.operators.catalog import upsert_catalog
 from changeflow.operators.envelope import MESSAGE_LIMIT, audit, ddl_envelope
-from changeflow.operators.filters import allow_ddl, allow_rows
-from changeflow.operators.ordered import latest_rows
+from changeflow.operators.filters import allow_ddl, allow_rows, allowed
 from changeflow.operators.rows import row_messages
+from changeflow.schemas import CATALOG_SCHEMA
 from changeflow.sinks import append_checkpoints, write_batch
 
 
@@ -23,14 +24,27 @@ def start_relay(
     batch that is retried after a failure replaces its own files; a queue behind
     ``publish`` sees such a batch again (at least once).
 
+    ``catalog`` is a table, or a function of the session that gives the current
+    one, called for each batch.
+
     ``interval`` is the flush interval, such as ``"1 second"``; without one the
     stream handles all there is and stops. ``maxFilesPerTrigger`` or
     ``maxOffsetsPerTrigger`` on the source bound a batch.
     """
 
     def flush(batch, batch_id):
+        # Read once from the source, used for rows, DDL and progress.
+        batch = batch.persist()
+        try:
+            write_all(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def write_all(batch, batch_id):
+        spark = batch.sparkSession
+        current = catalog(spark) if callable(catalog) else catalog
         shaped = row_messages(allow_rows(batch, schemas, tables))
-        write_batch(audit(shaped, catalog, limit), f"{path}/rows", batch_id, ["outcome"])
+        write_batch(audit(shaped, current, limit), f"{path}/rows", batch_id, ["outcome"])
         ddl = allow_ddl(batch, schemas, tables, ddl_ignores_table_list).select(
             "seq", "ts_s", "schema_name", "action", "query",
             F.lit(0).alias("error_code"),
@@ -39,7 +53,6 @@ def start_relay(
         )
         write_batch(ddl_envelope(ddl), f"{path}/ddl", batch_id)
         if publish is not None:
-            spark = batch.sparkSession
             publish(
                 spark.read.parquet(f"{path}/rows/batch_id={batch_id}").filter(
                     "outcome = 'delivered'"
@@ -47,8 +60,14 @@ def start_relay(
                 spark.read.parquet(f"{path}/ddl/batch_id={batch_id}"),
                 batch_id,
             )
-        newest = latest_rows(batch, ["server_uuid"], "seq", ["ts_s", "gno"]).withColumn(
-            "gtid_set", gtid_text("server_uuid", "gno")
+        newest = (
+            batch.groupBy("server_uuid")
+            .agg(
+                F.max("seq").alias("seq"),
+                F.max_by("ts_s", "seq").alias("ts_s"),
+                F.max_by("gno", "seq").alias("gno"),
+            )
+            .withColumn("gtid_set", gtid_text("server_uuid", "gno"))
         )
         append_checkpoints(newest, f"{path}/checkpoints", batch_id)
 
@@ -66,5 +85,39 @@ def delivered_log(spark, path):
 
 
 def dead_letter_log(spark, path):
-    """All row messages not delivered so far."""
+    """All row messages that were not delivered when they came."""
     return spark.read.parquet(f"{path}/rows").filter("outcome <> 'delivered'")
+
+
+def start_catalog(versions, path, checkpoint_location, schemas=(), tables=(), interval=None):
+    """Keep the catalog of the allowed tables from a stream of schema versions.
+
+    Each batch adds its versions; ``current_catalog`` picks the newest per table.
+    """
+
+    def add(batch, batch_id):
+        write_batch(batch.filter(allowed(schemas, tables)), path, batch_id)
+
+    writer = versions.writeStream.foreachBatch(add).option(
+        "checkpointLocation", checkpoint_location
+    )
+    if interval is None:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=interval).start()
+
+
+def current_catalog(spark, path):
+    """The newest version of each table that ``start_catalog`` has seen."""
+    return upsert_catalog(spark.read.schema(CATALOG_SCHEMA).parquet(path))
+
+
+def replay(dead_letters, catalog, limit=MESSAGE_LIMIT):
+    """Dead letters once more, against a catalog that may have been mended."""
+    return audit(
+        dead_letters.select(
+            "seq", "row_index", "ts_s", "schema_name", "table_name", "key", "action",
+            "old_row", "new_row",
+        ),
+        catalog,
+        limit,
+    )

@@ -87,7 +87,7 @@ def test_weight_scan(rows, sizes, gap, with_force):
 
 def test_gap_must_be_positive(spark):
     with pytest.raises(ValueError):
-        throttle(spark.range(1), [], "id", "id", 0, strict=False)
+        throttle(spark.range(1).withColumn("seq", F.col("id")), [], "id", "seq", 0, strict=False)
 
 
 def _kept_by_walk(rows, gap, strict, start, force=False, ok=False):

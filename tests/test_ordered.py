@@ -8,7 +8,6 @@ from changeflow.operators.ordered import (
     asof_join,
     block_of,
     carry_forward,
-    latest_rows,
     next_after,
     next_multiple,
     running_total,
@@ -80,13 +79,6 @@ def test_exact_multiples(spark):
     ]
 
 
-def test_latest_rows(spark):
-    df = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y"), ("b", 2, "z")], "k string, seq long, v string")
-    assert {tuple(r) for r in latest_rows(df, ["k"], "seq", ["v"]).collect()} == {
-        ("a", 5, "y"), ("b", 2, "z")
-    }
-
-
 @pytest.mark.parametrize("width", [3, 1 << 20])
 def test_backlog_of_a_burst(spark, width):
     """A third of all events falls in one second, over many blocks."""

@@ -8,9 +8,18 @@ from changeflow.operators.envelope import audit
 from changeflow.operators.filters import allow_rows
 from changeflow.operators.throttle import throttle_checkpoints
 from changeflow.plans import inputs
+from changeflow.schemas import CATALOG_SCHEMA
 from changeflow.session import scratch_path
 from changeflow.sources import read_checkpoint, stream_changes
-from changeflow.streaming import dead_letter_log, delivered_log, start_relay, throttle_stream
+from changeflow.streaming import (
+    current_catalog,
+    dead_letter_log,
+    delivered_log,
+    replay,
+    start_catalog,
+    start_relay,
+    throttle_stream,
+)
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -65,6 +74,54 @@ def test_relay_restarts_where_it_stopped(spark, log):
     assert read_checkpoint(spark.read.parquet(f"{path}/checkpoints")).first().saved_seq == 999
 
 
+def test_mended_catalog_reaches_the_relay_and_the_dead_letters(spark, log):
+    path = scratch_path(spark, "catalog-test")
+    versions = inputs.catalog(spark).select(*CATALOG_SCHEMA.fieldNames())
+
+    def run():
+        for name, table in (("catalog", CATALOG_SCHEMA), ("log", log.schema)):
+            stream = stream_changes(spark, f"{path}/in/{name}", schema=table)
+            if name == "catalog":
+                query = start_catalog(
+                    stream, f"{path}/{name}", f"{path}/progress-{name}", tables=["t0", "t3"]
+                )
+            else:
+                query = start_relay(
+                    stream, lambda s: current_catalog(s, f"{path}/catalog"), path,
+                    f"{path}/progress-{name}", ["db0"], ["t0", "t3"],
+                )
+            query.awaitTermination()
+
+    def outcomes(audited):
+        return {
+            (r.table_name, r.outcome): r["count"]
+            for r in audited.groupBy("table_name", "outcome").count().collect()
+        }
+
+    versions.write.parquet(f"{path}/in/catalog")
+    land(log, f"{path}/in/log", 0, 500)
+    run()
+    before = outcomes(spark.read.parquet(f"{path}/rows"))
+    assert set(before) == {("t0", "delivered"), ("t3", "arity_mismatch")}
+
+    mended = versions.filter("table_name = 't3'").withColumns(
+        {
+            "columns": F.slice("columns", 1, 4),
+            "n_cols": F.lit(4),
+            "valid_from": F.lit(500).cast("long"),
+        }
+    )
+    mended.write.mode("append").parquet(f"{path}/in/catalog")
+    land(log, f"{path}/in/log", 500, 1000)
+    run()
+    assert current_catalog(spark, f"{path}/catalog").count() == 6
+    after = outcomes(spark.read.parquet(f"{path}/rows"))
+    assert after[("t3", "arity_mismatch")] == before[("t3", "arity_mismatch")]
+    assert after[("t3", "delivered")] > 0
+    replayed = replay(dead_letter_log(spark, path), current_catalog(spark, f"{path}/catalog"))
+    assert outcomes(replayed) == {("t3", "delivered"): before[("t3", "arity_mismatch")]}
+
+
 def test_throttle_restarts_with_its_state(spark, log):
     path = scratch_path(spark, "throttle-test")
     gtids = rows.gtid_events(log, F.col("seq") % 90 == 0)
