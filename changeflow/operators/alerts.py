@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from changeflow.operators.ordered import (
     block_of,
     carry_forward,
+    explode_ticks,
     next_after,
     next_multiple,
 )
@@ -52,10 +53,9 @@ def health_alerts(state_changes, period=HEALTH_PERIOD):
         {c: F.coalesce(F.col(c), F.lit(0)) for c in states}
     )
     until = F.coalesce(F.col("_next") - period, F.col("tick_s"))
-    return spans.filter((F.col("canal_state") == 0) | (F.col("endpoint_state") == 0)).select(
-        F.explode(F.sequence("tick_s", until, F.lit(period).cast("bigint"))).alias("ts_s"),
-        *states,
-    )
+    down = spans.filter((F.col("canal_state") == 0) | (F.col("endpoint_state") == 0))
+    checks = explode_ticks(down, F.col("tick_s"), until, period, "ts_s", states)
+    return checks.select("ts_s", *states)
 
 
 def fan_out(alerts, channels=CHANNELS):

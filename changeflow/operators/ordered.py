@@ -28,6 +28,23 @@ def next_multiple(position, step):
     return F.col(position) + F.pmod(-F.col(position), F.lit(step).cast("bigint"))
 
 
+def explode_ticks(spans, first, last, step, name, columns, at_once=4096):
+    """One row per multiple of ``step`` from ``first`` to ``last``, with ``columns``.
+
+    A long span is cut first, so no row ever holds more than ``at_once`` ticks, or
+    one number per so many.
+    """
+    piece = F.lit(step * at_once).cast("bigint")
+    cut = spans.select(
+        *columns, last.alias("_last"), F.explode(F.sequence(first, last, piece)).alias("_from")
+    )
+    upto = F.least(F.col("_last"), F.col("_from") + piece - step)
+    return cut.select(
+        *columns,
+        F.explode(F.sequence("_from", upto, F.lit(step).cast("bigint"))).alias(name),
+    )
+
+
 def _position(order):
     # A single column keeps the aggregate's buffer fixed-width, hence hashed.
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)

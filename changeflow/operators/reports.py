@@ -4,7 +4,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from changeflow.operators.catalog import TABLE
-from changeflow.operators.ordered import block_of, next_after, next_multiple
+from changeflow.operators.ordered import (
+    block_of,
+    explode_ticks,
+    next_after,
+    next_multiple,
+)
 from changeflow.operators.progress import backlog_by_second
 from changeflow.operators.rows import event_rows
 from changeflow.schemas import ROW_ACTIONS
@@ -100,11 +105,9 @@ def sample_backlog(queue_events, interval=2, keys=()):
     )
     spans = next_after(at_tick, "tick_s", keys, ["tick_s"], ["_span"], "_next")
     until = F.coalesce(F.col("_next") - interval, F.col("tick_s"))
-    return spans.select(
-        *keys,
-        F.explode(F.sequence("tick_s", until, F.lit(interval).cast("bigint"))).alias("ts_s"),
-        "backlog",
-    )
+    return explode_ticks(
+        spans, F.col("tick_s"), until, interval, "ts_s", [*keys, "backlog"]
+    ).select(*keys, "ts_s", "backlog")
 
 
 def newest_samples(samples, keys=(), keep=RETAINED_SAMPLES):

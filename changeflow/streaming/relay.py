@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from changeflow.functions import gtid_text
 from changeflow.operators.catalog import upsert_catalog
-from changeflow.operators.envelope import MESSAGE_LIMIT, audit, ddl_envelope
+from changeflow.operators.envelope import MESSAGE_LIMIT, audit, ddl_envelope, fits_message
 from changeflow.operators.filters import allow_ddl, allow_rows, allowed
 from changeflow.operators.rows import row_messages
 from changeflow.schemas import CATALOG_SCHEMA
@@ -44,22 +44,28 @@ def start_relay(
         spark = batch.sparkSession
         current = catalog(spark) if callable(catalog) else catalog
         shaped = row_messages(allow_rows(batch, schemas, tables))
-        write_batch(audit(shaped, current, limit), f"{path}/rows", batch_id, ["outcome"])
+        messages = {"rows": audit(shaped, current, limit)}
         ddl = allow_ddl(batch, schemas, tables, ddl_ignores_table_list).select(
             "seq", "ts_s", "schema_name", "action", "query",
             F.lit(0).alias("error_code"),
             F.lit(0).cast("bigint").alias("execution_time"),
             F.lit(None).cast("binary").alias("status_vars"),
         )
-        write_batch(ddl_envelope(ddl), f"{path}/ddl", batch_id)
+        messages["ddl"] = ddl_envelope(ddl).withColumn(
+            "outcome",
+            F.when(fits_message(F.col("value"), limit), "delivered").otherwise("oversize"),
+        )
+        for name, audited in messages.items():
+            write_batch(audited, f"{path}/{name}", batch_id, ["outcome"])
         if publish is not None:
-            publish(
-                spark.read.parquet(f"{path}/rows/batch_id={batch_id}").filter(
-                    "outcome = 'delivered'"
-                ),
-                spark.read.parquet(f"{path}/ddl/batch_id={batch_id}"),
-                batch_id,
-            )
+            # What was written, with a schema: a batch may have no messages of a kind.
+            sent = [
+                spark.read.schema(audited.schema)
+                .parquet(f"{path}/{name}/batch_id={batch_id}")
+                .filter("outcome = 'delivered'")
+                for name, audited in messages.items()
+            ]
+            publish(*sent, batch_id)
         newest = (
             batch.groupBy("server_uuid")
             .agg(

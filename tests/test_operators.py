@@ -343,6 +343,15 @@ def test_samples_hold_between_events(spark):
     assert sorted(r.ts_s for r in reports.newest_samples(samples, keep=2).collect()) == [8, 10]
 
 
+def test_long_gaps_are_cut(spark):
+    """Three days between two events give all samples, in rows of bounded size."""
+    queue = spark.createDataFrame([(1, 1, 1), (2, 260_000, 1)], "seq long, ts_s long, delta int")
+    samples = reports.sample_backlog(queue, 2)
+    assert samples.count() == 130_000
+    got = samples.agg(F.min("ts_s"), F.max("ts_s"), F.sum("backlog"), F.countDistinct("ts_s"))
+    assert tuple(got.first()) == (2, 260_000, 130_001, 130_000)
+
+
 def test_alert_texts(spark):
     df = spark.createDataFrame([(1, 0)], "canal_state int, endpoint_state int")
     fanned = alerts.fan_out(df, ["email", "dingtalk", "wechat_work"])

@@ -4,13 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from changeflow.operators import rows
-from changeflow.operators.envelope import audit
+from changeflow.operators.envelope import audit, queue_records
 from changeflow.operators.filters import allow_rows
 from changeflow.operators.throttle import throttle_checkpoints
 from changeflow.plans import inputs
-from changeflow.schemas import CATALOG_SCHEMA
+from changeflow.schemas import CATALOG_SCHEMA, CHANGE_SCHEMA
 from changeflow.session import scratch_path
-from changeflow.sources import read_checkpoint, stream_changes
+from changeflow.sources import read_changes, read_checkpoint, stream_changes
 from changeflow.streaming import (
     current_catalog,
     dead_letter_log,
@@ -74,6 +74,43 @@ def test_relay_restarts_where_it_stopped(spark, log):
     assert read_checkpoint(spark.read.parquet(f"{path}/checkpoints")).first().saved_seq == 999
 
 
+def test_batch_without_ddl_and_oversize_ddl(spark, log):
+    path = scratch_path(spark, "ddl-test")
+    sent = []
+
+    def publish(row_messages, ddl_messages, batch_id):
+        records = queue_records(ddl_messages, "log")
+        sent.append((row_messages.count(), records.count()))
+
+    land(log.filter("action <> 'ddl'"), f"{path}/log", 0, 50)
+    land(log.filter("action = 'ddl'"), f"{path}/log", 50, 100)
+    stream = stream_changes(spark, f"{path}/log", schema=log.schema, max_files=1)
+    n_ddl = log.filter("action = 'ddl' AND seq BETWEEN 50 AND 99").count()
+    for limit, expected in ((1000, n_ddl), (60, 0)):
+        sent.clear()
+        start_relay(
+            stream, inputs.catalog(spark), f"{path}/{limit}", f"{path}/progress{limit}",
+            limit=limit, publish=publish,
+        ).awaitTermination()
+        assert [n for _, n in sent] == [0, expected]
+        assert sent[1][0] == 0
+        stored = spark.read.parquet(f"{path}/{limit}/ddl")
+        assert stored.count() == n_ddl
+
+
+def test_json_log_streams_like_parquet(spark, log):
+    path = scratch_path(spark, "json-test")
+    landed = log.select(*CHANGE_SCHEMA.fieldNames())
+    landed.write.json(f"{path}/log")
+    assert read_changes(spark, f"{path}/log", "json").exceptAll(landed).isEmpty()
+    start_relay(
+        stream_changes(spark, f"{path}/log", "json"), inputs.catalog(spark), path,
+        f"{path}/progress",
+    ).awaitTermination()
+    batch = audit(rows.row_messages(landed), inputs.catalog(spark)).filter("outcome = 'delivered'")
+    assert delivered_log(spark, path).count() == batch.count() > 0
+
+
 def test_mended_catalog_reaches_the_relay_and_the_dead_letters(spark, log):
     path = scratch_path(spark, "catalog-test")
     versions = inputs.catalog(spark).select(*CATALOG_SCHEMA.fieldNames())
