@@ -487,21 +487,23 @@ def q_alert_render(spark, sf_dir):
 # Envelopes and sinks
 
 
-def envelope_fields(messages):
-    def field(path):
-        return F.get_json_object("value", path)
+BODY = (
+    "action string, timestamp bigint, schema string, table string, "
+    "values struct<id string, kind string, cents string, props string>, "
+    "oldvalues struct<cents string>"
+)
 
-    return messages.select(
+
+def envelope_fields(messages):
+    """The fields of row bodies, each parsed once."""
+    parsed = messages.select("seq", "row_index", "value", F.from_json("value", BODY).alias("b"))
+    return parsed.select(
         "seq", "row_index",
-        field("$.action").alias("action"),
-        field("$.timestamp").cast("bigint").alias("timestamp"),
-        field("$.schema").alias("schema"),
-        field("$.table").alias("table"),
-        field("$.values.id").alias("id"),
-        field("$.values.kind").alias("kind"),
-        field("$.values.cents").cast("bigint").alias("cents"),
-        field("$.values.props").alias("props"),
-        field("$.oldvalues.cents").cast("bigint").alias("old_cents"),
+        "b.action", "b.timestamp", "b.schema", "b.table",
+        "b.values.id", "b.values.kind",
+        F.col("b.values.cents").cast("bigint").alias("cents"),
+        "b.values.props",
+        F.col("b.oldvalues.cents").cast("bigint").alias("old_cents"),
         F.col("value").contains('"oldvalues":null').alias("old_is_null"),
     )
 
