@@ -1,6 +1,9 @@
 """Session defaults and the shared scratch folder."""
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -38,13 +41,19 @@ def build_session(app_name="changeflow", master=None, **conf):
 def shared_dir(spark):
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Every executor must see it. Only a session without the setting (a test on
-    one machine) gets a temporary folder, one for the process.
+    Every executor must see it. Only a session on one machine may lack the setting (a test); it
+    gets a temporary folder, one for the process, removed when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not _LOCAL:
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder all executors share; master is {master}")
+    if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="changeflow-"))
-    return base or _LOCAL[0]
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
 
 
 def written(df, name, partition_by=()):
