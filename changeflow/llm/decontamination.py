@@ -298,7 +298,7 @@ def _without(words_of_hits):
 
 
 def decontaminate(docs, benchmark, window=WINDOW, min_share=MIN_SHARE):
-    """``docs`` without contaminated rows, and without hit spans in the others; columns unchanged."""
+    """``docs`` without contaminated rows, and without hit spans in the others; no new columns."""
     hits = contamination(docs, benchmark, window, min_share=min_share).where("n_hit > 0")
     hit_rows = hits.select(
         F.col("row_key").alias("__hit_row"), F.col("hit_words").alias("__hit_words"), F.col("contaminated").alias("__out")
@@ -310,7 +310,9 @@ def decontaminate(docs, benchmark, window=WINDOW, min_share=MIN_SHARE):
         cleaned.select(cleaned["__hit_row"].alias("row_key"), docs["text"].alias("text"), cleaned["__hit_words"].alias("hit_words"))
     ).dropDuplicates(["row_key"])
     renamed = texts.select(F.col("row_key").alias("__text_row"), F.col("text").alias("__text"))
+    # n_chars, where a table has it, is the length of the text.
+    changed = {"text": renamed["__text"], "n_chars": F.length(renamed["__text"]).cast(dict(docs.dtypes).get("n_chars", "long"))}
     trimmed = cleaned.join(renamed, cleaned["__hit_row"] == renamed["__text_row"]).select(
-        *[renamed["__text"].alias(c) if c == "text" else docs[c] for c in docs.columns]
+        *[changed.get(c, docs[c]).alias(c) for c in docs.columns]
     )
     return untouched.unionByName(trimmed)

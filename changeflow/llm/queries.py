@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 
 from changeflow.session import scratch_path
 
-from . import decontamination, exact_dedup, feistel, jaccard_join, line_dedup, packing, sharding, url_filter
+from . import decontamination, exact_dedup, feistel, jaccard_join, line_dedup, packing, quality, sharding, suffix_dedup, url_filter
 from .tables import table
 
 QUERIES = {}
@@ -69,6 +69,13 @@ def op5_url_filter(spark, sf_dir):
     return url_filter.filter_urls(pages, outcomes)
 
 
+@query
+def op6_quality_classifier(spark, sf_dir):
+    """Each document judged by its text and its site's record."""
+    judged = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.drop("row_key")
+
+
 @query
 def op7_decontamination(spark, sf_dir):
     """What of each document occurs in the benchmark's items."""
@@ -91,6 +98,13 @@ def op8_sharding(spark, sf_dir):
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_suffix_dedup(spark, sf_dir):
+    """Each document's repeated strings of 200 bytes, removed."""
+    clean = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op10_best_fit_packing(spark, sf_dir):
     """Each piece of each document with its bin."""

@@ -11,6 +11,7 @@ Outcomes are counted by host before anything is shuffled; the posterior table ha
 
 import pyspark.sql.functions as F
 
+from .shrinkage import overall, shrunk
 from .tables import lower_ascii
 
 RULES = (
@@ -22,7 +23,6 @@ RULES = (
 )
 MIN_GOOD = 0.75
 Z = 1.645
-WEAKEST, STRONGEST = 2.0, 1000.0
 MAX_RULES = 1000
 
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -54,20 +54,6 @@ def matched_rule(host, path, rules=RULES):
     return text, verdict
 
 
-def _strength(groups, mean):
-    """Prior strength of a level: the method of moments for a beta-binomial, kept within limits.
-
-    ``groups`` has n and s per group and the mean of its parent.
-    """
-    spread = F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - mean, 2) / (mean * (1 - mean)))
-    excess = (spread - F.count("*")) / F.sum(F.col("n") - 1)
-    return groups.where("n > 0").agg(
-        F.when(F.sum(F.col("n") - 1) > 0, F.when(excess > 0, F.least(F.greatest(1 / excess - 1, F.lit(WEAKEST)), F.lit(STRONGEST))).otherwise(F.lit(STRONGEST)))
-        .otherwise(F.lit(STRONGEST))
-        .alias("k")
-    )
-
-
 def host_reputation(pages, outcomes):
     """Posterior good rate of every host of ``pages(page_id, host)``.
 
@@ -80,23 +66,15 @@ def host_reputation(pages, outcomes):
     ).select("*", last_labels(F.col("host"), 2).alias("domain"), last_labels(F.col("host"), 1).alias("suffix"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    p_all = suffixes.agg((F.coalesce(F.sum("s"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).scalar()
-    suffixes = suffixes.withColumn("parent", p_all)
-    level = _shrunk(suffixes)
+    level = shrunk(suffixes.withColumn("parent", overall(suffixes)))
     below = domains.join(level.select("suffix", F.col("p").alias("parent")), "suffix")
-    level = _shrunk(below)
+    level = shrunk(below)
     below = hosts.join(level.select("domain", "suffix", F.col("p").alias("parent")), ["domain", "suffix"])
-    level = _shrunk(below)
+    level = shrunk(below)
     sd = F.sqrt(F.col("p") * (1 - F.col("p")) / (F.col("n") + F.col("k") + 1))
     return level.select("host", "n", "s", F.col("p").alias("p_good"), (F.col("p") - Z * sd).alias("low"))
 
 
-def _shrunk(groups):
-    strength = _strength(groups, F.col("parent")).scalar()
-    kept = groups.withColumn("k", strength)
-    return kept.withColumn("p", (F.col("s") + F.col("k") * F.col("parent")) / (F.col("n") + F.col("k")))
-
-
 def filter_urls(pages, outcomes, rules=RULES, min_good=MIN_GOOD):
     """Judge every row of ``pages(page_id, url)``: page_id, host, path, rule, verdict.
 

@@ -61,7 +61,7 @@ def blocks(column, size=BLOCK):
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = pc.fill_null(column, "")
+        column = pc.fill_null(column, pa.scalar(b"" if pa.types.is_binary(column.type) else "", column.type))
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     n = len(column)
