@@ -236,13 +236,16 @@ def repeated_ranges(rows, length=LENGTH, gram=GRAM):
     )
     runs = written(text.mapInArrow(_runs(length, gram, bloom.build(shared, "gram", shared.count())), RUNS), "runs")
     kinds = written(
-        runs.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "place")).alias("one")), "run-kinds"
+        runs.groupBy("gram", "run").agg(
+            F.count("*").alias("n"), F.min("row_key").alias("row_key"), F.min_by("place", "row_key").alias("place")
+        ),
+        "run-kinds",
     )
     copied = kinds.where("n > 1").select("gram", "run")
     settled = runs.join(copied, ["gram", "run"], "left_semi").select("row_key", "first", "last")
     several = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
     going_on = written(
-        kinds.join(several, "gram", "left_semi").select("one.row_key", "one.place").mapInArrow(
+        kinds.join(several, "gram", "left_semi").select("row_key", "place").mapInArrow(
             _with_keys, "row_key long, place_key long"
         ),
         "open-runs",
