@@ -14,9 +14,9 @@ and summed per pair.
    fragment counts the shared prefix n-grams of its pairs; the sum drops pairs that could not reach
    the threshold even if all the rest were shared.
 4. Frequent n-grams in a prefix mean a document made of common parts, or a large group of near
-   copies. Their members are paired with the group's smallest and largest class alone. After
-   verification, groups whose members are linked into one component need no more; only members of
-   different components are compared further.
+   copies. Members are first paired with the group's most common document alone. After verification,
+   groups whose members are linked into one component need no more; only members of different
+   components are compared further, where the n-gram can be the first that the two share.
 5. Verification. Segments of the classes in a candidate pair meet fragment by fragment; their
    overlaps are summed, and pairs that reach the threshold are links.
 6. Components of links give each document its group.
@@ -222,7 +222,7 @@ def _postings(n, fragments, frequent, percent):
             if len(heavy):
                 yield _rows(
                     -1 - (mix(grams[heavy] ^ classes[row[heavy]].astype(U)) % U(fragments)).astype(np.int64),
-                    keys[heavy], classes[row[heavy]], sizes[row[heavy]],
+                    keys[heavy], classes[row[heavy]], sizes[row[heavy]], sizes[row[heavy]] - rank[heavy], n_light[row[heavy]],
                 )
         if held:
             fragment, key, classes, sizes, rest = (np.concatenate(x) for x in zip(*held))
@@ -238,13 +238,13 @@ def _postings(n, fragments, frequent, percent):
     return post
 
 
-POSTED = "fragment long, key long, class_id long, size long, keys binary, classes binary, sizes binary, rests binary"
+POSTED = "fragment long, key long, class_id long, size long, rest long, light long, keys binary, classes binary, sizes binary, rests binary"
 
 
-def _rows(fragment, key, classes, sizes):
+def _rows(fragment, key, classes, sizes, rest, light):
     none = pa.nulls(len(key), pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(fragment), pa.array(key), pa.array(classes), pa.array(sizes.astype(np.int64)), none, none, none, none],
+        [*(pa.array(x.astype(np.int64)) for x in (fragment, key, classes, sizes, rest, light)), none, none, none, none],
         names=[c.split()[0] for c in POSTED.split(", ")],
     )
 
@@ -253,7 +253,7 @@ def _blob(fragment, key, classes, sizes, rest):
     number = pa.nulls(1, pa.int64())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([fragment]), number, number, number,
+            pa.array([fragment]), number, number, number, number, number,
             pa.array([_planes(np.diff(key, prepend=np.uint32(0)), "<u4")]),
             pa.array([classes.astype("<i8").tobytes()]),
             pa.array([_planes(sizes, "<u4")]),
@@ -277,7 +277,7 @@ def _fragment_pairs(percent):
         if table.column("fragment")[0].as_py() < 0:
             n = len(table)
             zero = np.zeros(n, np.int64)
-            return _found(table.column("class_id"), zero, table.column("size"), zero, zero, zero, table.column("key"))
+            return _found(table.column("class_id"), zero, table.column("size"), zero, table.column("rest"), table.column("light"), table.column("key"))
         key = np.concatenate([np.cumsum(_from_planes(c.as_buffer(), "<u4"), dtype=np.uint32) for c in table.column("keys")])
         classes, sizes, rest = (
             np.concatenate([decode(c.as_buffer()) for c in table.column(name)])
@@ -330,8 +330,8 @@ def _fragment_pairs(percent):
                     (classes[r], zero),
                     (sizes[l], sizes[members]),
                     (sizes[r], zero),
-                    (np.maximum(rest[l], rest[r]), zero),
-                    (shared, zero),
+                    (np.maximum(rest[l], rest[r]), sizes[members]),
+                    (shared, sizes[members] - rest[members]),
                     (np.zeros(len(l), np.int64), own),
                 )
             )
@@ -369,22 +369,35 @@ def light_pairs(found, percent):
     return summed.where(F.col("shared") + F.col("rest") >= least).select("a", "b", "size_a", "size_b")
 
 
+def _may_link(percent):
+    """Whether two members of a group could be similar if its n-gram is the first they share.
+
+    ``rest`` counts a member's n-grams from this one on in the global order. If it is the first shared
+    one, no more than the smaller rest can be shared; and every pair meets at its first.
+    """
+    most = F.least(F.col("rest_a"), F.col("rest_b"))
+    enough = most * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent
+    return _fits("size_a", "size_b", percent) & enough
+
+
 def star_pairs(members, percent):
-    """Every member of a frequent n-gram's group with the group's smallest and largest class."""
-    ends = members.groupBy("key").agg(
-        F.min(F.struct("class_id", "size")).alias("low"), F.max(F.struct("class_id", "size")).alias("high")
+    """Every member of a frequent n-gram's group with the group's most common document.
+
+    That is the one with the fewest n-grams that are not frequent: of near copies the least changed.
+    """
+    heads = members.groupBy("key").agg(F.min(F.struct("light", "class_id", "size", "rest")).alias("head"))
+    joined = members.join(heads, "key").where("class_id <> head.class_id")
+    swap = F.col("class_id") > F.col("head.class_id")
+    ends = {c: (F.col(c), F.col(f"head.{c}")) for c in ("class_id", "size", "rest")}
+    named = {"class_id": ("a", "b"), "size": ("size_a", "size_b"), "rest": ("rest_a", "rest_b")}
+    return (
+        joined.select(
+            *[F.when(swap, y).otherwise(x).alias(named[c][0]) for c, (x, y) in ends.items()],
+            *[F.when(swap, x).otherwise(y).alias(named[c][1]) for c, (x, y) in ends.items()],
+        )
+        .where(_may_link(percent))
+        .select("a", "b", "size_a", "size_b")
     )
-    joined = members.join(ends, "key")
-    stars = None
-    for end in ("low", "high"):
-        part = joined.select(
-            F.least(F.col("class_id"), F.col(f"{end}.class_id")).alias("a"),
-            F.greatest(F.col("class_id"), F.col(f"{end}.class_id")).alias("b"),
-            F.when(F.col("class_id") < F.col(f"{end}.class_id"), F.col("size")).otherwise(F.col(f"{end}.size")).alias("size_a"),
-            F.when(F.col("class_id") < F.col(f"{end}.class_id"), F.col(f"{end}.size")).otherwise(F.col("size")).alias("size_b"),
-        ).where("a <> b").where(_fits("size_a", "size_b", percent))
-        stars = part if stars is None else stars.unionByName(part)
-    return stars
 
 
 # --- verification ------------------------------------------------------------------------------
@@ -440,7 +453,7 @@ def verified(docs, sets, pairs, n, percent):
 # --- join --------------------------------------------------------------------------------------
 
 
-def links(docs, sets, n=N, percent=PERCENT, most_frequent=FREQUENT_KEYS):
+def links(docs, sets, n=N, percent=PERCENT):
     """Links between classes that connect all that are connected, and the components' labels.
 
     Every pair of similar classes is in one component; of a large group's pairs only some are listed.
@@ -448,7 +461,7 @@ def links(docs, sets, n=N, percent=PERCENT, most_frequent=FREQUENT_KEYS):
     """
     grams = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     fragments = max(16, math.ceil(grams / FRAGMENT_GRAMS))
-    frequent = frequent_grams(docs, n, fragments, most_frequent)
+    frequent = frequent_grams(docs, n, fragments, FREQUENT_KEYS)
     found = written(
         docs.select("text")
         .mapInArrow(_postings(n, fragments, frequent, percent), POSTED)
@@ -456,7 +469,7 @@ def links(docs, sets, n=N, percent=PERCENT, most_frequent=FREQUENT_KEYS):
         .applyInArrow(_fragment_pairs(percent), FOUND),
         "fragment-pairs",
     )
-    members = found.where("b = 0").select("key", F.col("a").alias("class_id"), F.col("size_a").alias("size")).distinct()
+    members = found.where("b = 0").select("key", F.col("a").alias("class_id"), F.col("size_a").alias("size"), "rest", F.col("shared").alias("light")).distinct()
     first = written(
         light_pairs(found, percent).unionByName(star_pairs(members, percent)).distinct(), "candidates"
     )
@@ -464,16 +477,18 @@ def links(docs, sets, n=N, percent=PERCENT, most_frequent=FREQUENT_KEYS):
     labels = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # Members of one group in different components: compare what has not been compared.
     placed = members.join(labels, F.col("class_id") == F.col("node"), "left").select(
-        "key", "class_id", "size", F.coalesce("root", "class_id").alias("root")
+        "key", "class_id", "size", "rest", F.coalesce("root", "class_id").alias("root")
     )
     open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     apart = placed.join(open_keys, "key", "left_semi")
-    one = apart.select("key", F.col("class_id").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-    two = apart.select("key", F.col("class_id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    one, two = (
+        apart.select("key", F.col("class_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "rest", "root")])
+        for x in ("a", "b")
+    )
     second = written(
         one.join(two, "key")
         .where("a < b and root_a <> root_b")
-        .where(_fits("size_a", "size_b", percent))
+        .where(_may_link(percent))
         .select("a", "b", "size_a", "size_b")
         .distinct()
         .join(first, ["a", "b"], "left_anti"),
