@@ -1,4 +1,4 @@
-from changeflow.functions.gtid import gtid_text, resume_gtid_set, trim_space
+from changeflow.functions.gtid import gtid_text, resume_gtid_set, set_ranges, trim_space
 from changeflow.functions.values import (
     body_bytes,
     bytes_to_text,
@@ -12,6 +12,7 @@ __all__ = [
     "gtid_text",
     "named_values",
     "resume_gtid_set",
+    "set_ranges",
     "table_key",
     "trim_space",
 ]

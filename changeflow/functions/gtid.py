@@ -37,3 +37,25 @@ def resume_gtid_set(saved, purged):
     merged_set = F.array_join(F.transform(F.split(purged, ","), resume_entry), ",")
     usable = (F.size(saved_parts) == 2) & (trim_space(purged) != "")
     return F.when(usable, merged_set).otherwise(F.lit(""))
+
+
+def set_ranges(gtid_set):
+    """The intervals of ``uuid:a-b:c,uuid:d`` as an array of (server_uuid, gno_start, gno_end).
+
+    A single number is an interval of one. Parts that are no interval are skipped.
+    """
+
+    def of_entry(entry):
+        parts = F.transform(F.split(entry, ":"), trim_space)
+        uuid = F.get(parts, F.lit(0))
+
+        def interval(text):
+            ends = F.split(text, "-")
+            start = F.get(ends, F.lit(0)).try_cast("bigint")
+            end = F.when(F.size(ends) == 1, start).otherwise(F.get(ends, F.lit(1)).try_cast("bigint"))
+            return F.struct(uuid.alias("server_uuid"), start.alias("gno_start"), end.alias("gno_end"))
+
+        return F.transform(F.slice(parts, 2, 1 << 30), interval)
+
+    intervals = F.flatten(F.transform(F.split(F.coalesce(gtid_set, F.lit("")), ","), of_entry))
+    return F.filter(intervals, lambda r: r["gno_start"] <= r["gno_end"])

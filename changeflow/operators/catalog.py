@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from changeflow.operators.filters import allowed
-from changeflow.operators.ordered import asof_join
+from changeflow.operators.ordered import BLOCK_ROWS, block_of, next_after
 
 TABLE = ["schema_name", "table_name"]
 
@@ -43,11 +43,14 @@ def unknown_tables(rows, catalog):
 def arity_ok():
     """Predicate: the row images have as many values as the catalog columns.
 
-    Checks the old image of an update as well as the new one.
+    Checks the old image of an update as well as the new one. A missing image, or an
+    unknown table, does not fit.
     """
-    fits = F.size("new_row") == F.col("n_cols")
-    old_fits = (F.col("action") != "update") | (F.size("old_row") == F.col("n_cols"))
-    return fits & old_fits
+
+    def fits(row):
+        return F.coalesce(F.size(row) == F.col("n_cols"), F.lit(False))
+
+    return fits("new_row") & ((F.col("action") != "update") | fits("old_row"))
 
 
 def arity_mismatch(resolved):
@@ -69,11 +72,39 @@ def resolve_latest(changes, versions):
     return changes.join(upsert_catalog(versions), TABLE, "left")
 
 
-def resolve_as_of(changes, versions):
+def resolve_as_of(changes, versions, width=BLOCK_ROWS):
     """Changes with the schema that was valid at their own ``seq``.
 
+    A version holds from its ``valid_from`` up to the next one of its table; the span is cut at
+    multiples of ``width``, up to the log's last ``seq``, so the lookup is an equi-join on table and
+    block. Spark broadcasts a short history and the log stays where it is; a long one is joined by
+    sort-merge. Of versions with one ``valid_from`` the largest counts.
+
     Resolve events before exploding their rows: all rows of an event share it.
     """
-    return asof_join(
-        changes, versions, TABLE, "seq", "valid_from", ["columns", "n_cols", "valid_from"]
+    single = versions.groupBy(*TABLE, "valid_from").agg(F.max(F.struct("columns", "n_cols")).alias("_v"))
+    placed = single.withColumn("_block", block_of("valid_from", width))
+    spans = next_after(placed, "valid_from", TABLE, ["valid_from"], ["_block"], "_next")
+    last = changes.agg(F.max("seq")).scalar()
+    until = F.least(F.coalesce(F.col("_next") - 1, last), last)
+    step = F.lit(width).cast("bigint")
+    pieces = (
+        spans.withColumn("_until", until)
+        .filter("valid_from <= _until")
+        .select(
+            *[F.col(c).alias(f"_v_{c}") for c in TABLE],
+            "_v",
+            F.col("valid_from").alias("_from"),
+            "_until",
+            F.explode(F.sequence(block_of("valid_from", width), block_of("_until", width), step)).alias("_piece"),
+        )
+    )
+    valid = (
+        changes["schema_name"].eqNullSafe(pieces["_v_schema_name"])
+        & changes["table_name"].eqNullSafe(pieces["_v_table_name"])
+        & (block_of("seq", width) == pieces["_piece"])
+        & changes["seq"].between(pieces["_from"], pieces["_until"])
+    )
+    return changes.join(pieces, valid, "left").select(
+        *changes.columns, "_v.columns", "_v.n_cols", F.col("_from").alias("valid_from")
     )

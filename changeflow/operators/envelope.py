@@ -65,12 +65,12 @@ def outcome(limit=MESSAGE_LIMIT, count_oversize=False):
     return chain.otherwise("delivered")
 
 
-def audit(rows, catalog, limit=MESSAGE_LIMIT):
-    """Every row message with its body and its outcome."""
+def audit(rows, catalog, limit=MESSAGE_LIMIT, count_oversize=False):
+    """Every row message with its body and its outcome; ``count_oversize`` as in ``outcome``."""
     resolved = rows.join(prepare_catalog(catalog), TABLE, "left")
     return (
         row_envelope(resolved)
-        .withColumn("outcome", outcome(limit))
+        .withColumn("outcome", outcome(limit, count_oversize))
         .drop("sorted_columns", "sorted_at")
     )
 

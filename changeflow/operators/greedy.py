@@ -128,7 +128,9 @@ def _chain_summaries(batches, start, strict):
     group = anchor = count = None
     for batch in batches:
         anchors, counts = [], []
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            # One summary at a time: its lists may be as long as the gap.
+            row = batch.slice(i, 1).to_pylist()[0]
             if row[_GROUP] != group:
                 group, count = row[_GROUP], 0
                 anchor = row["first_x"] if start == "first" else start

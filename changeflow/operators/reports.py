@@ -90,9 +90,11 @@ def component_state(state_changes):
     )
 
 
-def sample_backlog(queue_events, interval=2, keys=()):
+def sample_backlog(queue_events, interval=2, keys=(), keep=None):
     """Queue depth at every sampling time, from the first event to the last.
 
+    With ``keep`` only the newest ``keep`` times of each series are made.
+
     A depth holds until the next second with an event. The sampling times are
     made from these spans where they lie, not from one list of all times.
     """
@@ -105,9 +107,18 @@ def sample_backlog(queue_events, interval=2, keys=()):
     )
     spans = next_after(at_tick, "tick_s", keys, ["tick_s"], ["_span"], "_next")
     until = F.coalesce(F.col("_next") - interval, F.col("tick_s"))
-    return explode_ticks(
-        spans, F.col("tick_s"), until, interval, "ts_s", [*keys, "backlog"]
-    ).select(*keys, "ts_s", "backlog")
+    first = F.col("tick_s")
+    if keep is not None:
+        newest = queue_events.groupBy(*keys).agg(F.max("ts_s").alias("_newest")).select(
+            *[F.col(k).alias(f"_k_{k}") for k in keys],
+            (next_multiple("_newest", interval) - (keep - 1) * interval).alias("_oldest"),
+        )
+        same = [spans[k].eqNullSafe(newest[f"_k_{k}"]) for k in keys] or [F.lit(True)]
+        spans = spans.join(newest, same, "left").filter(until >= F.col("_oldest"))
+        first = F.greatest(first, F.col("_oldest"))
+    return explode_ticks(spans, first, until, interval, "ts_s", [*keys, "backlog"]).select(
+        *keys, "ts_s", "backlog"
+    )
 
 
 def newest_samples(samples, keys=(), keep=RETAINED_SAMPLES):

@@ -89,7 +89,14 @@ def changes_of(events):
                 ),
             ),
         )
-        .withColumn("row_images", row_images())
+        .withColumns(
+            {
+                "error_code": F.when(F.col("action") == "ddl", F.lit(0)),
+                "execution_time": F.when(F.col("action") == "ddl", F.col("seq") % 4),
+                "status_vars": F.when(F.col("action") == "ddl", F.encode("props", "utf-8")),
+                "row_images": row_images(),
+            }
+        )
     )
 
 
@@ -188,8 +195,18 @@ def state_changes(spark, sf_dir):
 
 def ddl_events(spark, sf_dir):
     return allow_ddl(change_log(spark, sf_dir), ALLOWED_SCHEMAS).select(
-        "seq", "action", "schema_name", "query",
-        F.lit(0).alias("error_code"),
-        (F.col("seq") % 4).alias("execution_time"),
-        F.encode("props", "utf-8").alias("status_vars"),
+        "seq", "action", "schema_name", "query", "error_code", "execution_time", "status_vars"
     )
+
+
+def typed_images(changes):
+    """The log with typed values: the id and cents are numbers, an empty text is null."""
+
+    def typed(image):
+        def value(i, kind="string"):
+            text = F.get(image, F.lit(i))
+            return F.when(text != "", text).cast(kind).cast("variant")
+
+        return F.array(value(0, "bigint"), value(1), value(2, "bigint"), value(3))
+
+    return changes.withColumn("row_images", F.transform("row_images", typed))

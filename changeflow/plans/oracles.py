@@ -270,6 +270,12 @@ SELECT s.server_uuid, s.ts_s, CAST(d.backlog AS BIGINT) AS backlog
 FROM samples s ASOF JOIN depth d ON s.server_uuid = d.server_uuid AND s.ts_s >= d.ts_s
 QUALIFY row_number() OVER (PARTITION BY s.server_uuid ORDER BY s.ts_s DESC) <= 900"""
 
+DDL = """
+SELECT seq, 'ddl' AS Action, schema_name AS Schema,
+       'ALTER TABLE ' || table_name || ' ADD COLUMN c' || CAST(seq AS VARCHAR) || ' INT' AS Query,
+       '0' AS ErrorCode, CAST(seq % 4 AS VARCHAR) AS ExecutionTime, base64(encode(props)) AS StatusVars
+FROM log WHERE action = 'ddl' AND schema_name IN ('db0', 'db1')"""
+
 ORACLES = {
     "q_change_events": _with(LOG, """
 SELECT seq, ts_s, server_uuid, gno, binlog_file, binlog_pos, schema_name, table_name, action,
@@ -292,12 +298,20 @@ SELECT DISTINCT schema_name, table_name,
 FROM log WHERE schema_name IN ('db0', 'db1') AND table_name IN ('t0', 't1', 't3')"""),
     "q_snapshot_bootstrap": _with(MSG, """
 SELECT 0 AS phase, 'shop.orders' AS key, 'insert' AS action, CAST(NULL AS BIGINT) AS seq,
-       CAST(o_orderkey AS VARCHAR) AS first_value, CAST(o_custkey AS VARCHAR) AS second_value
+       array_to_string([coalesce(CAST(x AS VARCHAR), 'NULL') FOR x IN
+         [CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
+          CAST(o_totalprice AS VARCHAR), CAST(o_orderdate AS VARCHAR), o_orderpriority]], '|') AS image
 FROM orders
 UNION ALL
-SELECT 0, 'shop.nation', 'insert', NULL, CAST(n_nationkey AS VARCHAR), n_name FROM nation
+SELECT 0, 'shop.nation', 'insert', NULL,
+       CAST(n_nationkey AS VARCHAR) || '|' || n_name || '|' || CAST(n_regionkey AS VARCHAR) FROM nation
 UNION ALL
-SELECT 1, key, action, seq, id, kind FROM msg WHERE schema_name IN ('db0', 'db1')"""),
+SELECT 1, key, action, seq,
+       id || '|' || kind || '|' || CAST(new_cents AS VARCHAR) || '|' || coalesce(props, 'NULL')
+FROM msg WHERE schema_name IN ('db0', 'db1') AND seq >= 500"""),
+    "q_resume_from_checkpoint": _with(LOG + KEPT, """
+SELECT l.seq, l.server_uuid, l.gno FROM log l
+WHERE l.gno > (SELECT max(k.gno) FROM log k JOIN checkpoints c USING (seq) WHERE k.server_uuid = l.server_uuid)""", True),
     "q_read_checkpoint": _with(LOG + KEPT, """
 SELECT arg_max(gtid_set, seq) AS gtid_set, max(seq) AS saved_seq FROM checkpoints""", True),
     "q_allow_rows": _with(LOG, """
@@ -411,11 +425,17 @@ SELECT server_uuid, seq AS saved_seq, ts_s, gtid_set FROM checkpoints""", True),
     "q_alert_sends": _with(LOG + STATES + SENDS, "", True),
     "q_alert_render": _with(LOG + STATES, RENDER),
     "q_row_envelope": _with(AUDIT, ENVELOPE),
-    "q_ddl_envelope": _with(LOG, """
-SELECT seq, 'ddl' AS Action, schema_name AS Schema,
-       'ALTER TABLE ' || table_name || ' ADD COLUMN c' || CAST(seq AS VARCHAR) || ' INT' AS Query,
-       '0' AS ErrorCode, CAST(seq % 4 AS VARCHAR) AS ExecutionTime, base64(encode(props)) AS StatusVars
-FROM log WHERE action = 'ddl' AND schema_name IN ('db0', 'db1')"""),
+    "q_row_envelope_typed": _with(AUDIT, """
+SELECT seq, row_index, action, CAST(id AS BIGINT) AS id, kind, new_cents AS cents, props,
+       true AS id_is_number, old_cents
+FROM audited WHERE outcome = 'delivered'"""),
+    "q_stream_ddl": _with(LOG, DDL),
+    "q_stream_progress": _with(LOG, """
+SELECT server_uuid, arg_max(binlog_file, seq) AS binlog_file, arg_max(binlog_pos, seq) AS binlog_pos,
+       server_uuid || ':' || CAST(max(seq) AS VARCHAR) AS gtid_set
+FROM log GROUP BY server_uuid"""),
+    "q_stream_sends": _with(LOG + STATES + SENDS, "", True),
+    "q_ddl_envelope": _with(LOG, DDL),
     "q_kafka_records": _with(AUDIT, """
 SELECT 'log' AS topic, CAST(seq AS VARCHAR) AS key, ts_s AS sent_s,
        CAST(new_cents AS VARCHAR) AS cents

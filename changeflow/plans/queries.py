@@ -16,13 +16,17 @@ from changeflow.session import scratch_path, written
 from changeflow.sources import (
     bootstrap,
     catalog_scan,
+    executed_ranges,
     from_position,
     read_checkpoint,
+    read_checkpoints,
     skip_executed,
 )
 
 SCHEMAS, TABLES = inputs.ALLOWED_SCHEMAS, inputs.ALLOWED_TABLES
 OVERSIZE_LIMIT = 10_000
+DUMPED_BEFORE = 500
+PURGED_SET = "srv0:1-100,\nsrv1:1-50"
 TOPIC = "log"
 ALERT = {
     "title": "alert",
@@ -150,12 +154,12 @@ def q_snapshot_bootstrap(spark, sf_dir):
         for name in ("orders", "nation", "region")
     }
     started = bootstrap(
-        dumped, rows.row_messages(log), databases=("shop",), tables=("orders", "nation")
+        dumped, rows.row_messages(log), databases=("shop",), tables=("orders", "nation"),
+        from_seq=DUMPED_BEFORE,
     )
+    shown = F.transform("new_row", lambda value: F.coalesce(value, F.lit("NULL")))
     return started.select(
-        "phase", "key", "action", "seq",
-        F.get("new_row", F.lit(0)).alias("first_value"),
-        F.get("new_row", F.lit(1)).alias("second_value"),
+        "phase", "key", "action", "seq", F.array_join(shown, "|").alias("image")
     )
 
 
@@ -164,6 +168,15 @@ def q_read_checkpoint(spark, sf_dir):
     return read_checkpoint(_saved_checkpoints(spark, sf_dir))
 
 
+@query
+def q_resume_from_checkpoint(spark, sf_dir):
+    """Saved ids, merged into the purged set, as ranges, and what is left of the log."""
+    saved = read_checkpoints(_saved_checkpoints(spark, sf_dir))
+    sets = saved.select(resume_gtid_set(F.col("gtid_set"), F.lit(PURGED_SET)).alias("gtid_set"))
+    log = inputs.numbered(inputs.change_log(spark, sf_dir).select("seq", "server_uuid"))
+    return skip_executed(log, executed_ranges(sets))
+
+
 # Filters and routing
 
 
@@ -194,7 +207,7 @@ def q_allow_ddl_relaxed(spark, sf_dir):
 @query
 def q_route_kinds(spark, sf_dir):
     log = inputs.change_log(spark, sf_dir).drop("row_images")
-    messages = written(rows.queue_messages(inputs.numbered(log)), "messages", ["kind"])
+    messages = rows.queue_messages(inputs.numbered(log))
     branches = [filters.route(messages, kind) for kind in ("position", "gtid", "ddl", "rows")]
     routed = branches[0]
     for branch in branches[1:]:
@@ -394,7 +407,8 @@ def q_component_state(spark, sf_dir):
 @query
 def q_metric_series(spark, sf_dir):
     samples = reports.sample_backlog(
-        inputs.queue_events(spark, sf_dir), inputs.SAMPLE_INTERVAL_S, ["server_uuid"]
+        inputs.queue_events(spark, sf_dir), inputs.SAMPLE_INTERVAL_S, ["server_uuid"],
+        keep=reports.RETAINED_SAMPLES,
     )
     return reports.newest_samples(samples, ["server_uuid"])
 
@@ -410,13 +424,13 @@ def q_latest_position(spark, sf_dir):
 
 @query
 def q_latest_gtid(spark, sf_dir):
-    return progress.latest_gtid(written(_checkpoints(spark, sf_dir), "saved"))
+    return progress.latest_gtid(_checkpoints(spark, sf_dir))
 
 
 @query
 def q_progress_info(spark, sf_dir):
     return progress.progress_info(
-        inputs.change_log(spark, sf_dir), written(_checkpoints(spark, sf_dir), "saved")
+        inputs.change_log(spark, sf_dir), _checkpoints(spark, sf_dir)
     )
 
 
@@ -513,9 +527,27 @@ def q_row_envelope(spark, sf_dir):
     return envelope_fields(envelope.delivered(_audited(spark, sf_dir)))
 
 
+TYPED_BODY = BODY.replace("id string", "id bigint").replace("cents string", "cents bigint")
+
+
 @query
-def q_ddl_envelope(spark, sf_dir):
-    enveloped = envelope.ddl_envelope(inputs.ddl_events(spark, sf_dir))
+def q_row_envelope_typed(spark, sf_dir):
+    """Numbers stay numbers in the body and nulls stay null."""
+    log = inputs.typed_images(
+        inputs.rows_only(filters.allow_rows(inputs.change_log(spark, sf_dir), SCHEMAS))
+    )
+    sent = envelope.delivered(envelope.audit(rows.row_messages(log), inputs.catalog(spark)))
+    parsed = sent.select("seq", "row_index", "value", F.from_json("value", TYPED_BODY).alias("b"))
+    return parsed.select(
+        "seq", "row_index", "b.action", "b.values.id", "b.values.kind", "b.values.cents",
+        "b.values.props",
+        F.col("value").rlike('"id":[0-9]+,').alias("id_is_number"),
+        F.col("b.oldvalues.cents").alias("old_cents"),
+    )
+
+
+def ddl_fields(enveloped):
+    """The fields of DDL bodies."""
 
     def field(name):
         return F.get_json_object("value", f"$.{name}").alias(name)
@@ -526,6 +558,11 @@ def q_ddl_envelope(spark, sf_dir):
     )
 
 
+@query
+def q_ddl_envelope(spark, sf_dir):
+    return ddl_fields(envelope.ddl_envelope(inputs.ddl_events(spark, sf_dir)))
+
+
 @query
 def q_kafka_records(spark, sf_dir):
     sent = envelope.delivered(_audited(spark, sf_dir))

@@ -1,18 +1,22 @@
 """The registered queries on a stream: the events table read as a change stream."""
 
-from contextlib import contextmanager
-
 from pyspark.sql import functions as F
 
 from changeflow.operators import catalog, filters, reports, rows
+from changeflow.operators.alerts import fan_out, health_alerts
 from changeflow.operators.throttle import SILENCE_GAP
 from changeflow.plans import inputs
-from changeflow.plans.queries import SCHEMAS, envelope_fields, query
-from changeflow.session import ROCKSDB_PROVIDER, scratch_path
+from changeflow.plans.queries import SCHEMAS, ddl_fields, envelope_fields, query
+from changeflow.session import scratch_path
 from changeflow.sources import stream_changes
-from changeflow.streaming import delivered_log, start_relay, throttle_stream
-
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+from changeflow.streaming import (
+    ddl_log,
+    delivered_log,
+    kept_log,
+    relay_progress,
+    start_relay,
+    start_throttle,
+)
 
 
 def _events(spark, sf_dir):
@@ -26,39 +30,36 @@ def _changes(spark, sf_dir):
     return inputs.changes_of(_events(spark, sf_dir)).withColumn("gno", F.col("seq"))
 
 
-@contextmanager
-def _state_store(spark):
-    """The RocksDB provider for the streams started inside."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, ROCKSDB_PROVIDER)
-    try:
-        yield
-    finally:
-        spark.conf.set(_PROVIDER, before)
-
-
-def _appended(stream, name):
-    """Run the stream to its end into a new table and read that."""
-    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, name)
-    with _state_store(spark):
-        (
-            stream.writeStream.format("parquet")
-            .option("path", f"{path}/table")
-            .option("checkpointLocation", f"{path}/progress")
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
-    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+def _throttled(stream, name, **limit):
+    """Run a rate limit over the stream to its end and read what it kept."""
+    path = scratch_path(stream.sparkSession, name)
+    start_throttle(stream, path, f"{path}/progress", **limit).awaitTermination()
+    return kept_log(stream.sparkSession, path, stream.schema)
 
 
-@query
-def q_stream_relay(spark, sf_dir):
+def _relayed(spark, sf_dir):
     path = scratch_path(spark, "relay")
     start_relay(
         _changes(spark, sf_dir), inputs.catalog(spark), path, f"{path}/progress", SCHEMAS
     ).awaitTermination()
-    return envelope_fields(delivered_log(spark, path))
+    return path
+
+
+@query
+def q_stream_relay(spark, sf_dir):
+    return envelope_fields(delivered_log(spark, _relayed(spark, sf_dir)))
+
+
+@query
+def q_stream_ddl(spark, sf_dir):
+    """The relay's DDL messages, with the fields their events carry."""
+    return ddl_fields(ddl_log(spark, _relayed(spark, sf_dir)))
+
+
+@query
+def q_stream_progress(spark, sf_dir):
+    """Position and transaction id as the relay itself has saved them."""
+    return relay_progress(spark, _relayed(spark, sf_dir))
 
 
 @query
@@ -87,11 +88,10 @@ def q_stream_dml_counts(spark, sf_dir):
 @query
 def q_stream_checkpoints(spark, sf_dir):
     gtids = rows.gtid_events(_changes(spark, sf_dir), F.col("seq") % 500 == 0)
-    kept = throttle_stream(
-        gtids, ["server_uuid"], "ts_s", "seq", inputs.CHECKPOINT_GAP_S, strict=True,
-        start="first", force="force",
+    return _throttled(
+        gtids, "stream-checkpoints", keys=["server_uuid"], time="ts_s", order="seq",
+        gap=inputs.CHECKPOINT_GAP_S, strict=True, delay=0, start="first", force="force",
     )
-    return _appended(kept, "stream-checkpoints")
 
 
 @query
@@ -99,7 +99,22 @@ def q_stream_silence(spark, sf_dir):
     alerts = _events(spark, sf_dir).select(
         "event_id", "event_type", inputs.epoch_seconds(F.col("ts")).alias("ts_s")
     )
-    kept = throttle_stream(
-        alerts, ["event_type"], "ts_s", "event_id", SILENCE_GAP, strict=False
+    return _throttled(
+        alerts, "stream-silence", keys=["event_type"], time="ts_s", order="event_id",
+        gap=SILENCE_GAP, strict=False, delay=0,
+    )
+
+
+@query
+def q_stream_sends(spark, sf_dir):
+    """Alerts sent from a stream of alerts; failed ones start no silence."""
+    path = scratch_path(spark, "alerts")
+    sends = fan_out(health_alerts(inputs.state_changes(spark, sf_dir), inputs.HEALTH_PERIOD_S)).select(
+        "channel", "ts_s", (F.col("ts_s") % 11 != 0).alias("send_ok")
     )
-    return _appended(kept, "stream-silence")
+    sends.write.parquet(path)
+    stream = stream_changes(spark, path, schema=sends.schema)
+    return _throttled(
+        stream.withColumn("order", F.col("ts_s")), "stream-sends", keys=["channel"], time="ts_s",
+        order="order", gap=SILENCE_GAP, strict=False, delay=0, succeeded="send_ok",
+    ).drop("order")

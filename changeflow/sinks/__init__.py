@@ -1,8 +1,9 @@
 from changeflow.sinks.tables import (
     append_checkpoints,
+    batch_path,
     write_batch,
     write_change_log,
     write_kafka,
 )
 
-__all__ = ["append_checkpoints", "write_batch", "write_change_log", "write_kafka"]
+__all__ = ["append_checkpoints", "batch_path", "write_batch", "write_change_log", "write_kafka"]

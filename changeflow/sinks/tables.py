@@ -8,22 +8,34 @@ def write_change_log(changes, path, partition_by=("binlog_file",)):
     changes.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def write_batch(df, path, batch_id, partition_by=(), file_format="parquet"):
-    """Write one batch to its own folder; a retried batch replaces itself."""
+def write_batch(df, path, batch_id, partition_by=(), file_format="parquet", run=None):
+    """Write one batch to its own folder; a retried batch replaces itself.
+
+    ``run`` names the stream the batch number belongs to: another run's batches stay.
+    """
     writer = df.write.mode("overwrite").format(file_format)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(f"{path}/batch_id={batch_id}")
+    writer.save(batch_path(path, batch_id, run))
+
+
+def batch_path(path, batch_id, run=None):
+    return f"{path}/batch_id={batch_id}" if run is None else f"{path}/run={run}/batch_id={batch_id}"
+
 
+def append_checkpoints(saved, path, batch_id=0, run=None):
+    """Append saved transaction ids, with their log position where it is known.
 
-def append_checkpoints(saved, path, batch_id=0):
-    """Append saved transaction ids. Call it after the batch's rows are written."""
+    Call it after the batch's rows are written.
+    """
+    position = [c for c in ("binlog_file", "binlog_pos") if c in saved.columns]
     write_batch(
         saved.select(
-            "server_uuid", F.col("seq").alias("saved_seq"), "ts_s", "gtid_set"
+            "server_uuid", F.col("seq").alias("saved_seq"), "ts_s", "gtid_set", *position
         ),
         path,
         batch_id,
+        run=run,
     )
 
 

@@ -2,22 +2,32 @@ from changeflow.sources.catalog import catalog_scan, jdbc_catalog_columns
 from changeflow.sources.changes import (
     from_position,
     kafka_changes,
+    malformed,
+    number_changes,
+    parsed_records,
     read_changes,
     skip_executed,
     stream_changes,
+    well_formed,
 )
-from changeflow.sources.checkpoints import read_checkpoint
+from changeflow.sources.checkpoints import executed_ranges, read_checkpoint, read_checkpoints
 from changeflow.sources.snapshot import bootstrap, snapshot_rows
 
 __all__ = [
     "bootstrap",
     "catalog_scan",
+    "executed_ranges",
     "from_position",
     "jdbc_catalog_columns",
     "kafka_changes",
+    "malformed",
+    "number_changes",
+    "parsed_records",
     "read_changes",
     "read_checkpoint",
+    "read_checkpoints",
     "skip_executed",
     "snapshot_rows",
     "stream_changes",
+    "well_formed",
 ]

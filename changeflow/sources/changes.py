@@ -1,11 +1,16 @@
 """The landed change log as a table or a stream, and where to start in it."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from changeflow.operators.ordered import block_of
+from changeflow.operators.ordered import block_of, running_total
 from changeflow.schemas import CHANGE_SCHEMA
 
 
+#: Column with the text of a record that could not be read.
+MALFORMED = "malformed"
+
+
 def read_changes(spark, path, file_format="parquet", schema=CHANGE_SCHEMA):
     """The change log as a table."""
     return spark.read.format(file_format).schema(schema).load(path)
@@ -36,20 +41,73 @@ def kafka_changes(spark, servers, topic, max_offsets=None, schema=CHANGE_SCHEMA)
     )
     if max_offsets is not None:
         reader = reader.option("maxOffsetsPerTrigger", max_offsets)
-    return reader.load().select(
-        F.from_json(F.col("value").cast("string"), schema).alias("_c")
-    ).select("_c.*")
+    return parsed_records(reader.load(), schema)
+
+
+def parsed_records(records, schema=CHANGE_SCHEMA):
+    """Changes from JSON texts in ``value``, with the text of a malformed one in ``malformed``.
+
+    A record that is no change has nulls everywhere else; ``well_formed`` and ``malformed`` tell the two
+    apart, and the relay sets the malformed aside.
+    """
+    with_text = T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
+    text = F.col("value").cast("string")
+    parsed = F.from_json(text, with_text, {"columnNameOfCorruptRecord": MALFORMED})
+    broken = F.coalesce(
+        F.col(f"_c.{MALFORMED}"), F.when(F.col("_c.seq").isNull(), F.coalesce("_t", F.lit("")))
+    )
+    return records.select(parsed.alias("_c"), text.alias("_t")).select(
+        *[F.when(broken.isNull(), F.col(f"_c.{c}")).alias(c) for c in schema.fieldNames()],
+        broken.alias(MALFORMED),
+    )
+
+
+def well_formed(changes):
+    """The changes that could be read, without the column that tells."""
+    if MALFORMED not in changes.columns:
+        return changes
+    return changes.filter(F.col(MALFORMED).isNull()).drop(MALFORMED)
+
+
+def malformed(changes):
+    """The texts that could not be read as a change."""
+    return changes.filter(F.col(MALFORMED).isNotNull()).select(MALFORMED)
 
 
 def from_position(changes, binlog_file, binlog_pos):
     """Changes at or after a log position.
 
-    File names are zero-padded and sort as text. The first condition follows from
-    the second; alone it prunes a log that is partitioned by ``binlog_file``.
+    File names are zero-padded; a name that has outgrown its padding is longer and
+    comes later, so names compare by length, then as text. The first condition follows
+    from the second; alone it prunes a log that is partitioned by ``binlog_file``.
     """
     file, pos = F.col("binlog_file"), F.col("binlog_pos")
-    return changes.filter(
-        (file >= binlog_file) & ((file > binlog_file) | (pos >= binlog_pos))
+    longer, equal = F.length(file) > len(binlog_file), F.length(file) == len(binlog_file)
+    from_file = longer | (equal & (file >= binlog_file))
+    return changes.filter(from_file & ((file != binlog_file) | (pos >= binlog_pos)))
+
+
+def number_changes(changes, width=1 << 20):
+    """Add a dense ``seq`` to a landed log, from file, position and place in the event list.
+
+    Rows are counted per file and block of positions, and numbered inside such a block, so
+    no file goes through one task. File names order by length, then as text.
+    """
+    blocked = changes.withColumns(
+        {
+            "_one": F.lit(1).cast("bigint"),
+            "_length": F.length("binlog_file"),
+            "_block": block_of("binlog_pos", width),
+            "_all": F.lit(0),
+        }
+    )
+    return (
+        running_total(
+            blocked,
+            "_one", ["_all"], ["binlog_pos"], ["_length", "binlog_file", "_block"], "seq",
+        )
+        .withColumn("seq", F.col("seq") - 1)
+        .drop("_one", "_length", "_block", "_all")
     )
 
 
@@ -66,7 +124,9 @@ def skip_executed(changes, executed, width=1 << 20):
         "gno_start",
         "gno_end",
         F.explode(
-            F.sequence(block_of("gno_start", width), block_of("gno_end", width))
+            F.sequence(
+                block_of("gno_start", width), block_of("gno_end", width), F.lit(width).cast("bigint")
+            )
         ).alias("_block"),
     )
     blocked = changes.withColumn("_block", block_of("gno", width))

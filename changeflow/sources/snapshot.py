@@ -37,9 +37,11 @@ def in_scope(schema_name, table_name, databases=(), tables=()):
     return True
 
 
-def bootstrap(tables_by_name, rows, databases=(), tables=(), ts_s=0):
+def bootstrap(tables_by_name, rows, databases=(), tables=(), ts_s=0, from_seq=None):
     """Snapshot rows of the tables in scope (phase 0), then the changes (phase 1).
 
+    ``from_seq`` is the first change after the dump: earlier ones are in its rows already.
+
     ``tables_by_name`` maps ``(schema, table)`` to a DataFrame. Order the result
     by ``(phase, seq)``; snapshot rows have no order among themselves.
     """
@@ -49,6 +51,8 @@ def bootstrap(tables_by_name, rows, databases=(), tables=(), ts_s=0):
         for (schema, name), frame in tables_by_name.items()
         if in_scope(schema, name, databases, tables)
     ]
+    if from_seq is not None:
+        rows = rows.filter(F.col("seq") >= from_seq)
     changes = rows.withColumn("phase", F.lit(1)).select(
         "phase", "seq", "ts_s", "schema_name", "table_name", "action", "old_row", "new_row"
     )

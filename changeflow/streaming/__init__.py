@@ -1,19 +1,29 @@
 from changeflow.streaming.relay import (
     current_catalog,
+    ddl_log,
     dead_letter_log,
     delivered_log,
+    relay_progress,
     replay,
+    row_log,
     start_catalog,
     start_relay,
 )
+from changeflow.streaming.rate_limit import kept_log, late_log, start_throttle
 from changeflow.streaming.stateful import throttle_stream
 
 __all__ = [
     "current_catalog",
+    "ddl_log",
     "dead_letter_log",
     "delivered_log",
+    "kept_log",
+    "late_log",
+    "relay_progress",
     "replay",
+    "row_log",
     "start_catalog",
     "start_relay",
+    "start_throttle",
     "throttle_stream",
 ]

@@ -55,10 +55,11 @@ class PassingSeconds(StatefulProcessor):
 
 
 def throttle_stream(
-    events, keys, time, order, gap, strict, delay="0 seconds", start=None, force=None
+    events, keys, time, order, gap, strict, delay, start=None, force=None
 ):
     """``throttle`` on a stream: the same rows, each once its second is past the
-    watermark. Rows later than ``delay`` are dropped, as with any watermark.
+    watermark. Rows later than ``delay`` are dropped, as with any watermark, and a key's due
+    seconds go through one task; ``start_throttle`` keeps late rows and spreads keys.
 
     ``time`` is in whole seconds. Only the first row of a second can be kept by
     distance, so an aggregate, combined before the shuffle, reduces each second of
