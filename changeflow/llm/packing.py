@@ -17,6 +17,8 @@ import math
 import pandas as pd
 import pyspark.sql.functions as F
 
+from changeflow.session import written
+
 from .tables import WORD, text_of
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -108,7 +110,8 @@ def best_fit(docs, capacities=CAPACITIES, bin_cost=BIN_COST, n_tokens=None, grou
     only on ids and lengths, never on how rows are partitioned.
     """
     capacities = tuple(sorted(capacities))
-    cut = pieces(docs, capacities[-1], n_tokens)
+    # Written once: texts are read for their lengths only, and not again for the number of groups.
+    cut = written(pieces(docs, capacities[-1], n_tokens), "pieces")
     groups = max(1, math.ceil(cut.count() / group_pieces))
 
     def packed(frame):
