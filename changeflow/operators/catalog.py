@@ -43,12 +43,12 @@ def unknown_tables(rows, catalog):
 def arity_ok():
     """Predicate: the row images have as many values as the catalog columns.
 
-    Checks the old image of an update as well as the new one. A missing image, or an
-    unknown table, does not fit.
+    Checks the old image of an update as well as the new one. A missing image does not
+    fit; null for an unknown table.
     """
 
     def fits(row):
-        return F.coalesce(F.size(row) == F.col("n_cols"), F.lit(False))
+        return F.coalesce(F.size(row), F.lit(-1)) == F.col("n_cols")
 
     return fits("new_row") & ((F.col("action") != "update") | fits("old_row"))
 

@@ -93,9 +93,9 @@ def start_throttle(
 
 def kept_log(spark, path, schema):
     """All rows kept so far."""
-    return spark.read.schema(schema).parquet(f"{path}/kept")
+    return spark.read.schema(schema).parquet(f"{path}/kept").select(*schema.fieldNames())
 
 
 def late_log(spark, path, schema):
     """All rows that came after their second was decided."""
-    return spark.read.schema(schema).parquet(f"{path}/late")
+    return spark.read.schema(schema).parquet(f"{path}/late").select(*schema.fieldNames())
