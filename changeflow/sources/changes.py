@@ -83,7 +83,7 @@ def from_position(changes, binlog_file, binlog_pos):
     """
     file, pos = F.col("binlog_file"), F.col("binlog_pos")
     longer, equal = F.length(file) > len(binlog_file), F.length(file) == len(binlog_file)
-    from_file = longer | (equal & (file >= binlog_file))
+    from_file = ((file >= binlog_file) & equal) | longer
     return changes.filter(from_file & ((file != binlog_file) | (pos >= binlog_pos)))
 
 
