@@ -26,6 +26,8 @@ SEQUENCE = 512
 SHARD_RECORDS = 8192
 ROUNDS = 4
 KEY = 20240601
+#: Stored for a row without an id.
+NO_ID = -(1 << 63)
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
@@ -217,7 +219,7 @@ def token_sequences(docs, tokenizer, sequence=SEQUENCE, end_id=50256, key=KEY, s
     ``tokenizer`` is the path of a rank file that every executor can read; ``end_id`` ends each
     document and fills its last sequence up. Returns slot, shard, record. Null or empty text is one
     sequence of the end alone; rows that repeat an id have sequences of their own; a null id is
-    stored as -1.
+    stored as ``NO_ID``.
 
     Sequences are numbered by partition and place in it, so ``docs`` must have the same partitions
     each time it is read, as a table's files have; a partition that differs in the second pass
@@ -232,7 +234,7 @@ def token_sequences(docs, tokenizer, sequence=SEQUENCE, end_id=50256, key=KEY, s
         part = TaskContext.get().partitionId()
         number = int(offsets[part])
         for batch in batches:
-            ids_of_rows = np.array(batch.column(0).fill_null(-1))
+            ids_of_rows = np.array(batch.column(0).fill_null(NO_ID))
             for row, ids, at in token_ids(batch.column(1), tokenizer):
                 doc_ids = ids_of_rows[row : row + len(at) - 1]
                 records = _records(ids, at, doc_ids, end_id, layout)
@@ -301,7 +303,7 @@ def read_shards(spark, path, layout):
                         pa.array(shard * layout.shard_records + place),
                         pa.array(np.full(len(records), shard, np.int32)),
                         pa.array(place * layout.stride),
-                        pa.array(records["doc_id"].copy(), mask=records["doc_id"] < 0),
+                        pa.array(records["doc_id"].copy(), mask=records["doc_id"] == NO_ID),
                         pa.array(records["chunk"].copy()),
                         pa.array(records["n_tokens"].copy()),
                         pa.array([hashlib.sha256(t.tobytes()).hexdigest() for t in records["tokens"]]),

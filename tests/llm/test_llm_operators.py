@@ -78,7 +78,7 @@ def test_shards_round_trip_and_fixed_stride(spark, tmp_path, end_id):
         with open(files[r.shard], "rb") as shard:
             shard.seek(r.byte_offset)
             record = np.frombuffer(shard.read(layout.stride)[:-1], layout.fields)[0]
-        assert (record["doc_id"], record["chunk"]) == (-1 if r.doc_id is None else r.doc_id, r.chunk)
+        assert (record["doc_id"], record["chunk"]) == (feistel.NO_ID if r.doc_id is None else r.doc_id, r.chunk)
 
 
 def test_no_documents_make_no_sequences(spark, tmp_path):
