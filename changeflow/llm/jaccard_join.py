@@ -383,7 +383,8 @@ def _may_link(percent):
 def star_pairs(members, percent):
     """Every member of a frequent n-gram's group with the group's most common document.
 
-    That is the one with the fewest n-grams that are not frequent: of near copies the least changed.
+    That is the one with the fewest n-grams that are not frequent: of near copies the least changed, so
+    most of the group links to it and the second comparison has little left.
     """
     heads = members.groupBy("key").agg(F.min(F.struct("light", "class_id", "size", "rest")).alias("head"))
     joined = members.join(heads, "key").where("class_id <> head.class_id")
