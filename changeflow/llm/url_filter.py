@@ -11,6 +11,8 @@ Outcomes are counted by host before anything is shuffled; the posterior table ha
 
 import pyspark.sql.functions as F
 
+from changeflow.session import written
+
 from .shrinkage import overall, shrunk
 from .tables import lower_ascii
 
@@ -61,9 +63,16 @@ def host_reputation(pages, outcomes):
     """
     by_page = outcomes.groupBy("page_id").agg(F.min("good").alias("good"))
     labelled = pages.join(by_page, "page_id", "left")
-    hosts = labelled.groupBy("host").agg(
+    counted = labelled.groupBy("host").agg(
         F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("s")
-    ).select("*", last_labels(F.col("host"), 2).alias("domain"), last_labels(F.col("host"), 1).alias("suffix"))
+    )
+    # One row per host, read by every level below and by the prior strengths: written once.
+    hosts = written(
+        counted.select(
+            "*", last_labels(F.col("host"), 2).alias("domain"), last_labels(F.col("host"), 1).alias("suffix")
+        ),
+        "hosts",
+    )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     level = shrunk(suffixes.withColumn("parent", overall(suffixes)))
