@@ -24,7 +24,8 @@ from .tables import WORD, text_of
 CAPACITIES = (512, 1024, 2048, 4096)
 BIN_COST = 64
 GROUP_PIECES = 8192
-LOOK_AHEAD = 16
+#: Pieces that no fill can exceed, as each has a token. Nothing here is cut off at it.
+LOOK_AHEAD = max(CAPACITIES)
 
 PACKED = (
     "doc_id long, piece int, piece_start long, n_tokens int, bin_id string, "
@@ -35,15 +36,16 @@ PACKED = (
 def expected_fill(length, capacity, lengths, left):
     """Tokens a new bin would hold if ``length`` went in with the longest pieces that then fit.
 
-    ``lengths`` ascends; the first ``left`` of them are not placed yet.
+    ``lengths`` ascends; the first ``left`` of them are not placed yet. Equal lengths are taken in one
+    step, so there are at most about sqrt(2 * capacity) steps.
     """
     room = capacity - length
-    for _ in range(LOOK_AHEAD):
-        left = bisect.bisect_right(lengths, room, 0, left)
-        if not left:
-            break
-        left -= 1
-        room -= lengths[left]
+    while left := bisect.bisect_right(lengths, room, 0, left):
+        longest = lengths[left - 1]
+        equal = left - bisect.bisect_left(lengths, longest, 0, left)
+        taken = min(equal, room // longest)
+        left -= taken
+        room -= taken * longest
     return capacity - room
 
 

@@ -350,6 +350,34 @@ def test_pack_follows_the_plain_rules(seed):
     assert all(c >= u and all(d < u for d in capacities if d < c) for c, u in zip(sizes, used))
 
 
+def plain_fill(length, capacity, left):
+    """Tokens in a bin after taking the longest piece that fits, one at a time, until none does."""
+    room, pool = capacity - length, sorted(left)
+    while pool := [x for x in pool if x <= room]:
+        room -= pool.pop()
+    return capacity - room
+
+
+@pytest.mark.parametrize("length", [1, 20, 25, 60, 100, 150, 200, 240])
+def test_many_short_pieces_open_the_least_cost_bin(length):
+    lengths = [length] * 5000
+    capacities, bin_cost = packing.CAPACITIES, packing.BIN_COST
+    cost = {c: (c + bin_cost) / (c // length * length) for c in capacities}
+    assert packing.cheapest(length, capacities, bin_cost, lengths, 4999) == min(cost, key=lambda c: (cost[c], c))
+    _, _, used = packing.pack(lengths[:4096], capacities, bin_cost)
+    assert used[0] == 4096 // length * length
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_bin_is_filled_on_paper_until_nothing_fits(seed):
+    rng = random.Random(seed)
+    lengths = sorted(rng.choice((3, 10, 40, 300)) if rng.random() < 0.6 else rng.randrange(1, 200) for _ in range(400))
+    for capacity in packing.CAPACITIES:
+        for left in (0, 1, 5, 60, 200, 399):
+            found = packing.expected_fill(lengths[left], capacity, lengths, left)
+            assert found == plain_fill(lengths[left], capacity, lengths[:left])
+
+
 def test_packing_is_whole_and_better_than_one_capacity(spark):
     rows = corpus(2, groups=60) + odd_rows()
     docs = table_of(spark, rows)
