@@ -14,7 +14,8 @@ against one large packing is a fraction of its last few bins.
 import bisect
 import math
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 
 from changeflow.session import written
@@ -116,25 +117,23 @@ def best_fit(docs, capacities=CAPACITIES, bin_cost=BIN_COST, n_tokens=None, grou
     cut = written(pieces(docs, capacities[-1], n_tokens), "pieces")
     groups = max(1, math.ceil(cut.count() / group_pieces))
 
-    def packed(frame):
-        frame = frame.sort_values(
-            ["n_tokens", "doc_id", "piece"], ascending=[True, False, False], kind="stable"
+    # Arrow, not pandas: a column that holds a null would come as float64 and round large ids.
+    def packed(held):
+        order = pc.sort_indices(
+            held,
+            sort_keys=[("n_tokens", "ascending"), ("doc_id", "descending"), ("piece", "descending")],
+            null_placement="at_end",
         )
-        bins, offsets, used = pack(frame["n_tokens"].tolist(), capacities, bin_cost)
+        held = held.take(order)
+        bins, offsets, used = pack(held["n_tokens"].to_pylist(), capacities, bin_cost)
         sizes = downsized(used, capacities)
-        group = frame["pack_group"].iloc[0] if len(frame) else 0
-        return pd.DataFrame(
-            {
-                "doc_id": frame["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None),
-                "piece": frame["piece"].to_numpy(),
-                "piece_start": frame["piece_start"].to_numpy(),
-                "n_tokens": frame["n_tokens"].to_numpy(),
-                "bin_id": [f"{group}-{b}" for b in bins],
-                "bin_offset": offsets,
-                "bin_used": [used[b] for b in bins],
-                "bin_capacity": [sizes[b] for b in bins],
-            }
+        group = held["pack_group"][0].as_py() if len(held) else 0
+        kept = [held[c] for c in ("doc_id", "piece", "piece_start", "n_tokens")]
+        made = [offsets, [used[b] for b in bins], [sizes[b] for b in bins]]
+        return pa.Table.from_arrays(
+            [*kept, pa.array([f"{group}-{b}" for b in bins], pa.string()), *(pa.array(x, pa.int32()) for x in made)],
+            names=[c.split()[0] for c in PACKED.split(", ")],
         )
 
     spread = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))
-    return cut.withColumn("pack_group", spread).groupBy("pack_group").applyInPandas(packed, PACKED)
+    return cut.withColumn("pack_group", spread).groupBy("pack_group").applyInArrow(packed, PACKED)

@@ -403,6 +403,16 @@ def test_packing_is_whole_and_better_than_one_capacity(spark):
     assert sorted(packed, key=repr) == sorted(again, key=repr)
 
 
+def test_missing_ids_leave_large_ids_as_they_are(spark):
+    large = [(1 << 53) + 1 + i for i in range(6)] + [-(1 << 62) - 3, (1 << 63) - 1]
+    rows = [(d, "a b c") for d in large] + [(None, "a b"), (None, "a b c")]
+    packed = packing.best_fit(table_of(spark, rows)).collect()
+    assert Counter(r.doc_id for r in packed) == Counter(d for d, _ in rows)
+    # Equal lengths are placed by id, ascending, and rows without one first.
+    same = [r.doc_id for r in sorted(packed, key=lambda r: r.bin_offset) if r.n_tokens == 3]
+    assert same == [None, *sorted(large)]
+
+
 def test_nothing_to_pack(spark):
     assert packing.best_fit(spark.createDataFrame([], SCHEMA)).count() == 0
     assert packing.best_fit(table_of(spark, [(1, None), (2, " ")])).count() == 0
