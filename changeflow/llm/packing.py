@@ -20,6 +20,7 @@ import pyspark.sql.functions as F
 
 from changeflow.session import written
 
+from .feistel import token_counts
 from .tables import WORD, text_of
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -84,14 +85,30 @@ def downsized(used, capacities=CAPACITIES):
     return [next(c for c in sorted(capacities) if c >= u) for u in used]
 
 
-def pieces(docs, capacity, n_tokens=None):
+def tokenized_lengths(docs, tokenizer):
+    """doc_id and n, the tokens of its text by the rank file ``tokenizer``, of every row."""
+
+    def counted(batches):
+        for batch in batches:
+            n = pa.array(token_counts(batch.column(1), tokenizer))
+            yield pa.RecordBatch.from_arrays([batch.column(0), n], names=["doc_id", "n"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(counted, "doc_id long, n long")
+
+
+def pieces(docs, capacity, n_tokens=None, tokenizer=None):
     """Cut each document into pieces of at most ``capacity`` tokens, by numbers only.
 
-    ``n_tokens`` is a column of token counts; by default words between white space count.
+    ``tokenizer`` is the path of a rank file that every executor can read, or else ``n_tokens`` a column
+    of token counts; with neither, words between white space count, which are fewer than tokens.
     """
-    if n_tokens is None:
-        n_tokens = F.regexp_count(text_of(docs), F.lit(WORD))
-    counted = docs.select(docs["doc_id"].cast("long").alias("doc_id"), n_tokens.cast("long").alias("n"))
+    if tokenizer is not None:
+        counted = tokenized_lengths(docs, tokenizer)
+    else:
+        if n_tokens is None:
+            n_tokens = F.regexp_count(text_of(docs), F.lit(WORD))
+        counted = docs.select(docs["doc_id"].cast("long").alias("doc_id"), n_tokens.cast("long").alias("n"))
     cut = counted.where("n > 0").select(
         "doc_id",
         "n",
@@ -106,7 +123,9 @@ def pieces(docs, capacity, n_tokens=None):
     )
 
 
-def best_fit(docs, capacities=CAPACITIES, bin_cost=BIN_COST, n_tokens=None, group_pieces=GROUP_PIECES):
+def best_fit(
+    docs, capacities=CAPACITIES, bin_cost=BIN_COST, n_tokens=None, group_pieces=GROUP_PIECES, tokenizer=None
+):
     """One row per piece: doc_id, piece, piece_start, n_tokens, bin_id, bin_offset, bin_used, bin_capacity.
 
     Documents without tokens have no piece. Rows that repeat an id are packed each. The result depends
@@ -114,7 +133,7 @@ def best_fit(docs, capacities=CAPACITIES, bin_cost=BIN_COST, n_tokens=None, grou
     """
     capacities = tuple(sorted(capacities))
     # Written once: texts are read for their lengths only, and not again for the number of groups.
-    cut = written(pieces(docs, capacities[-1], n_tokens), "pieces")
+    cut = written(pieces(docs, capacities[-1], n_tokens, tokenizer), "pieces")
     groups = max(1, math.ceil(cut.count() / group_pieces))
 
     # Arrow, not pandas: a column that holds a null would come as float64 and round large ids.

@@ -107,8 +107,8 @@ def op9_suffix_dedup(spark, sf_dir):
 
 @query
 def op10_best_fit_packing(spark, sf_dir):
-    """Each piece of each document with its bin."""
-    return packing.best_fit(table(spark, sf_dir, "documents"))
+    """Each piece of each document with its bin, in tokens."""
+    return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer=TOKENIZER)
 
 
 ORACLES["op1_line_dedup"] = """

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from changeflow.llm import decontamination, feistel, packing, quality, sharding, url_filter
+from changeflow.llm.queries import QUERIES
 from llm_cases import SCHEMA, corpus, odd_rows, table_of, words
 
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -413,6 +414,21 @@ def test_missing_ids_leave_large_ids_as_they_are(spark):
     assert same == [None, *sorted(large)]
 
 
+def test_packing_query_counts_tokens(spark, tmp_path):
+    texts = {1: "x7Qz" * 9000, 2: "one two three", 3: "", 4: None, 5: " ".join(f"w{i}" for i in range(3000)), 6: " \n "}
+    table_of(spark, list(texts.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    encode, _ = feistel.encoder(RANKS)
+    tokens = {d: len(encode.encode(t)) for d, t in texts.items() if t}
+    assert tokens[1] > packing.CAPACITIES[-1] and tokens[5] > packing.CAPACITIES[-1]
+    held = defaultdict(list)
+    for r in QUERIES["op10_best_fit_packing"](spark, str(tmp_path)).collect():
+        held[r.doc_id].append((r.piece, r.piece_start, r.n_tokens))
+        assert r.bin_offset + r.n_tokens <= r.bin_used <= r.bin_capacity
+    assert {d: sum(n for *_, n in x) for d, x in held.items()} == tokens
+    for parts in held.values():
+        assert [s for _, s, _ in sorted(parts)] == np.cumsum([0, *(n for *_, n in sorted(parts))])[:-1].tolist()
+
+
 def test_nothing_to_pack(spark):
     assert packing.best_fit(spark.createDataFrame([], SCHEMA)).count() == 0
     assert packing.best_fit(table_of(spark, [(1, None), (2, " ")])).count() == 0
