@@ -16,7 +16,8 @@ and summed per pair.
 4. Frequent n-grams in a prefix mean a document made of common parts, or a large group of near
    copies. Members are first paired with the group's most common document alone. After verification,
    groups whose members are linked into one component need no more; only members of different
-   components are compared further, where the n-gram can be the first that the two share.
+   components and of near sizes are compared further, where the n-gram can be the first that the two
+   share. A group's most common component is never joined with itself.
 5. Verification. Segments of the classes in a candidate pair meet fragment by fragment; their
    overlaps are summed, and pairs that reach the threshold are links.
 6. Components of links give each document its group.
@@ -44,6 +45,8 @@ GROUP = 32
 FREQUENT_KEYS = 1_000_000
 FRAGMENT_GRAMS = 4_000_000
 SEGMENTS = 8
+SALT_ROWS = 1024
+SALTS = 64
 
 WORD_BYTES = byte_set(SPACES, inverted=True)
 LOW = U(0xFFFFFFFF)
@@ -401,6 +404,70 @@ def star_pairs(members, percent):
     )
 
 
+def _bands(percent):
+    """A member's band of sizes: those of similar sets are equal or neighbours.
+
+    A band is a little wider than the threshold's ratio, so that rounding cannot part two sets.
+    """
+    return F.floor(F.log("size") / math.log(1.01 * 100 / percent)).cast("long")
+
+
+def meetings(placed, percent):
+    """Pairs of a group's members ``placed(key, class_id, size, rest, root)`` that are brought together.
+
+    A member meets members of its band of sizes and of the next one: a cell. The cell's most common
+    component is kept from meeting itself. Any other is no larger, so that its pairs within itself are
+    no more than its pairs with the most common one: what is formed grows with the pairs of different
+    components, however large a component is. Cells of one component form nothing, and cells of many
+    members are dealt out over several tasks.
+    """
+    banded = placed.withColumn("band", _bands(percent))
+    second = banded.select("*", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("cell"))
+    shares = second.groupBy("key", "cell", "root").agg(F.count("*").alias("n"))
+    cells = written(
+        shares.groupBy("key", "cell")
+        .agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"))
+        .where("roots > 1")
+        .select("key", "cell", "main", F.least(F.ceil(F.col("n") / SALT_ROWS), F.lit(SALTS)).cast("int").alias("salts")),
+        "open-cells",
+    )
+    columns = ("class_id", "size", "rest", "root", "band")
+    others = F.col("root") != F.col("main")
+    one = banded.withColumn("cell", F.col("band")).join(cells, ["key", "cell"]).select(
+        "key",
+        "cell",
+        F.explode(F.when(others, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("in_main"),
+        F.pmod(F.xxhash64("class_id"), F.col("salts")).cast("int").alias("salt"),
+        *[F.col(c).alias(f"{c}_a") for c in columns],
+    )
+    two = second.join(cells, ["key", "cell"]).select(
+        "key",
+        "cell",
+        (~others).alias("in_main"),
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+        *[F.col(c).alias(f"{c}_b") for c in columns],
+    )
+    # Written, so that the join deals rows out anew and splits what is skewed.
+    return written(one, "meet").join(written(two, "met"), ["key", "cell", "in_main", "salt"])
+
+
+def apart_pairs(placed, percent):
+    """Pairs of a group's members in different components that may be similar, each listed once or more."""
+    swap = F.col("class_id_a") > F.col("class_id_b")
+    ends = (("a", "class_id"), ("size_a", "size"))
+    named = {"a": "b", "size_a": "size_b"}
+    return (
+        meetings(placed, percent)
+        .where("root_a <> root_b and (band_a <> band_b or class_id_a < class_id_b)")
+        .where(_may_link(percent))
+        .select(
+            *[F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(name) for name, c in ends],
+            *[F.when(swap, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(named[name]) for name, c in ends],
+        )
+        .select("a", "b", "size_a", "size_b")
+    )
+
+
 # --- verification ------------------------------------------------------------------------------
 
 
@@ -477,23 +544,14 @@ def links(docs, sets, n=N, percent=PERCENT):
     linked = written(verified(docs, sets, first, n, percent), "links")
     labels = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # Members of one group in different components: compare what has not been compared.
-    placed = members.join(labels, F.col("class_id") == F.col("node"), "left").select(
-        "key", "class_id", "size", "rest", F.coalesce("root", "class_id").alias("root")
-    )
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    apart = placed.join(open_keys, "key", "left_semi")
-    one, two = (
-        apart.select("key", F.col("class_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "rest", "root")])
-        for x in ("a", "b")
+    placed = written(
+        members.join(labels, F.col("class_id") == F.col("node"), "left").select(
+            "key", "class_id", "size", "rest", F.coalesce("root", "class_id").alias("root")
+        ),
+        "placed",
     )
     second = written(
-        one.join(two, "key")
-        .where("a < b and root_a <> root_b")
-        .where(_may_link(percent))
-        .select("a", "b", "size_a", "size_b")
-        .distinct()
-        .join(first, ["a", "b"], "left_anti"),
-        "candidates",
+        apart_pairs(placed, percent).distinct().join(first, ["a", "b"], "left_anti"), "candidates"
     )
     if second.isEmpty():
         return linked, labels

@@ -128,6 +128,41 @@ def test_near_groups_of_a_large_group_and_a_common_passage(spark):
     assert rows_of(found) == brute_groups(rows)
 
 
+def placed_groups(spark, parts):
+    """Members of groups, from lists of (key, root, number of members, smallest size)."""
+    rows, class_id = [], 10_000
+    for key, root, number, size in parts:
+        for i in range(number):
+            rows.append((key, class_id, size + i % 7, size + i % 7 - i % 3, root))
+            class_id += 7 if class_id % 2 else -3
+    return rows, spark.createDataFrame(rows, "key long, class_id long, size long, rest long, root long")
+
+
+@pytest.mark.parametrize("salt_rows", [1024, 50])
+def test_open_groups_meet_across_components_only(spark, monkeypatch, salt_rows):
+    monkeypatch.setattr(jaccard_join, "SALT_ROWS", salt_rows)
+    rows, placed = placed_groups(
+        spark, [(1, 5, 700, 100), (1, 6, 3, 100), (1, 7, 2, 90), (1, 8, 4, 300), (2, 5, 90, 10), (2, 6, 90, 11), (3, 9, 500, 50)]
+    )
+    cross, expected = 0, set()
+    for i, (key, a, size_a, rest_a, root_a) in enumerate(rows):
+        for other, b, size_b, rest_b, root_b in rows[:i]:
+            if key == other and root_a != root_b:
+                cross += 1
+                if min(size_a, size_b) * 100 >= max(size_a, size_b) * 80 and min(rest_a, rest_b) * 180 >= (size_a + size_b) * 80:
+                    expected.add((a, b, size_a, size_b) if a < b else (b, a, size_b, size_a))
+    assert {tuple(r) for r in jaccard_join.apart_pairs(placed, 80).collect()} == expected
+    # Joined on the key alone, 709 * 709 + 180 * 180 = 535,081 pairs were formed.
+    assert jaccard_join.meetings(placed, 80).count() <= 4 * cross
+
+
+def test_bands_of_sizes_part_no_similar_sets(spark):
+    sizes = [(s, -(-s * 100 // 80) if s * 100 % 80 else s * 100 // 80) for s in range(1, 3000)]
+    pairs = [(s, t) for s, b in sizes for t in (b - 1, b) if s * 100 >= t * 80]
+    frames = [spark.createDataFrame([(p[i],) for p in pairs], "size long").select(jaccard_join._bands(80).alias("n")).collect() for i in (0, 1)]
+    assert max(b.n - a.n for a, b in zip(*frames)) <= 1
+
+
 def test_frequent_list_is_bounded_and_changes_nothing(spark, monkeypatch):
     rows = [(i, " ".join(f"w{(i // 40) * 3 + j}" for j in range(30)) + f" u{i}") for i in range(160)]
     docs = table_of(spark, rows).select("doc_id", "text")
