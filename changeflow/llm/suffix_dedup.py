@@ -1,8 +1,8 @@
-"""Removal of long repeated strings by bucket-pointer refinement.
+"""Removal of long repeated strings by anchors and content hashes, in place of bucket-pointer refinement.
 
 A string of ``LENGTH`` bytes is repeated if it starts at two places of the corpus. The places are
-sorted into buckets that are refined step by step, each step looking at bucket identifiers of later
-offsets, and places alone in their bucket drop out:
+dealt into buckets that are refined in three fixed steps, each by hashes of more bytes around the anchor,
+and places alone in their bucket drop out; no step looks up the bucket of another offset:
 
 1. q-gram buckets. Every string is represented by the least q-gram in it, its anchor: equal strings
    have the same anchor at the same offset, and neighbouring strings mostly share theirs, so there is
