@@ -6,7 +6,21 @@ import pyspark.sql.functions as F
 
 from changeflow.session import scratch_path
 
-from . import decontamination, exact_dedup, feistel, jaccard_join, line_dedup, packing, quality, sharding, suffix_dedup, url_filter
+from . import (
+    decontamination,
+    exact_dedup,
+    feistel,
+    jaccard_join,
+    line_dedup,
+    packing,
+    quality,
+    sharding,
+    spelling,
+    substring_dedup,
+    suffix_dedup,
+    url_filter,
+    whitening,
+)
 from .tables import table
 
 QUERIES = {}
@@ -111,6 +125,25 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer=TOKENIZER)
 
 
+@query
+def op11_substring_dedup(spark, sf_dir):
+    """Each document without its windows of 20 words that start earlier."""
+    clean = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    """Each word of the corpus with the more frequent word it is a variant of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_embedding_whitening(spark, sf_dir):
+    """The whitened components of each embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 ORACLES["op1_line_dedup"] = """
 WITH lines AS (
   SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
@@ -249,3 +282,59 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
 """
+
+ORACLES["op11_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS words
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS r FROM win),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM ranked WHERE r > 1),
+kept AS (SELECT u.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY u.p) AS text
+         FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) u
+         ANTI JOIN gone ON u.doc_id = gone.doc_id AND u.p = gone.p GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op12_spelling_variants"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, xor(c >> 1, 3988292384 * (c & 1)), k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS crc FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (
+  SELECT run, times, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs),
+checked AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(range(1, len(h), 2), lambda p: ('0x' || substr(h, p, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) AS h
+  FROM hashed, crc),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times
+  FROM checked),
+vocabulary AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+rests AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM rests a JOIN rests b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT r.word, v.word, v.n FROM rests r JOIN vocabulary v ON r.rest = v.word
+  UNION SELECT v.word, r.word, r.n FROM rests r JOIN vocabulary v ON r.rest = v.word),
+best AS (
+  SELECT word, other, other_n, n_near FROM (
+    SELECT *, count(*) OVER (PARTITION BY word) AS n_near,
+           row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS r FROM near) WHERE r = 1),
+judged AS (
+  SELECT v.word, n, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n,
+         coalesce(n_near, 0) AS n_near FROM vocabulary v LEFT JOIN best USING (word)),
+follow AS (
+  SELECT word, word AS root FROM judged
+  UNION ALL SELECT f.word, j.form FROM follow f JOIN judged j ON f.root = j.word WHERE j.form IS NOT NULL)
+SELECT j.word, j.n, j.form, root, j.n_near, j.form_n
+FROM judged j JOIN follow f ON f.word = j.word JOIN judged e ON f.root = e.word AND e.form IS NULL
+"""
