@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from changeflow.operators.filters import allowed
-from changeflow.operators.ordered import BLOCK_ROWS, block_of, next_after
+from changeflow.operators.intervals import locate
+from changeflow.operators.ordered import BLOCK_ROWS, block_of, levels_of, next_after
+from changeflow.session import written
 
 TABLE = ["schema_name", "table_name"]
 
@@ -75,36 +77,47 @@ def resolve_latest(changes, versions):
 def resolve_as_of(changes, versions, width=BLOCK_ROWS):
     """Changes with the schema that was valid at their own ``seq``.
 
-    A version holds from its ``valid_from`` up to the next one of its table; the span is cut at
-    multiples of ``width``, up to the log's last ``seq``, so the lookup is an equi-join on table and
-    block. Spark broadcasts a short history and the log stays where it is; a long one is joined by
-    sort-merge. Of versions with one ``valid_from`` the largest counts.
+    A version holds from its ``valid_from`` up to the next one of its table. A change at or after its
+    table's newest version is settled by an equi-join on the table alone; earlier ones are looked up in
+    dyadic pieces of the closed versions, so work grows with the versions and not with the length of the
+    log. Spark broadcasts a short history and the log stays where it is; a long one is joined by
+    sort-merge. Of versions with one ``valid_from`` the largest counts. ``width`` bounds the blocks in
+    which a table's versions are put in order.
 
     Resolve events before exploding their rows: all rows of an event share it.
     """
-    single = versions.groupBy(*TABLE, "valid_from").agg(F.max(F.struct("columns", "n_cols")).alias("_v"))
-    placed = single.withColumn("_block", block_of("valid_from", width))
-    spans = next_after(placed, "valid_from", TABLE, ["valid_from"], ["_block"], "_next")
-    last = changes.agg(F.max("seq")).scalar()
-    until = F.least(F.coalesce(F.col("_next") - 1, last), last)
-    step = F.lit(width).cast("bigint")
-    pieces = (
-        spans.withColumn("_until", until)
-        .filter("valid_from <= _until")
-        .select(
-            *[F.col(c).alias(f"_v_{c}") for c in TABLE],
-            "_v",
-            F.col("valid_from").alias("_from"),
-            "_until",
-            F.explode(F.sequence(block_of("valid_from", width), block_of("_until", width), step)).alias("_piece"),
-        )
+    spans = written(version_spans(versions, width), "version-spans")
+    newest = spans.filter("_next IS NULL").select(
+        *[F.col(c).alias(f"_newest_{c}") for c in TABLE], F.col("valid_from").alias("_newest_from")
+    )
+    closed = spans.filter("_next IS NOT NULL").select(
+        *TABLE, F.col("valid_from").alias("_closed_from"), (F.col("_next") - 1).alias("_until")
+    )
+    headed = changes.join(newest, _same_table(changes, newest, "_newest_"), "left")
+    is_newest = F.col("seq") >= F.col("_newest_from")
+    found = locate(headed, TABLE, "seq", closed, "_closed_from", "_until", ["_closed_from"], settled=is_newest)
+    placed = found.withColumn("_from", F.when(is_newest, F.col("_newest_from")).otherwise(F.col("_closed_from")))
+    held = spans.select(
+        *[F.col(c).alias(f"_v_{c}") for c in TABLE], F.col("valid_from").alias("_v_from"), "columns", "n_cols"
+    )
+    valid = _same_table(placed, held, "_v_") & (placed["_from"] == held["_v_from"])
+    return placed.join(held, valid, "left").select(
+        *[placed[c] for c in changes.columns], "columns", "n_cols", F.col("_from").alias("valid_from")
     )
-    valid = (
-        changes["schema_name"].eqNullSafe(pieces["_v_schema_name"])
-        & changes["table_name"].eqNullSafe(pieces["_v_table_name"])
-        & (block_of("seq", width) == pieces["_piece"])
-        & changes["seq"].between(pieces["_from"], pieces["_until"])
+
+
+def version_spans(versions, width=BLOCK_ROWS):
+    """Every version with the ``valid_from`` of the next one of its table in ``_next``."""
+    single = written(
+        versions.groupBy(*TABLE, "valid_from").agg(F.max(F.struct("columns", "n_cols")).alias("_v")), "versions"
     )
-    return changes.join(pieces, valid, "left").select(
-        *changes.columns, "_v.columns", "_v.n_cols", F.col("_from").alias("valid_from")
+    levels = levels_of(single, ["_block"])
+    placed = single.select(*TABLE, "valid_from", "_v.columns", "_v.n_cols").withColumn(
+        "_block", block_of("valid_from", width)
     )
+    return next_after(placed, "valid_from", TABLE, ["valid_from"], levels, "_next").drop("_block")
+
+
+def _same_table(left, right, prefix):
+    schema, table = (left[c].eqNullSafe(right[f"{prefix}{c}"]) for c in TABLE)
+    return schema & table

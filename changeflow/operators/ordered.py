@@ -13,6 +13,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 20
+#: A table of at most so many rows is put in order as it is: no key of it can hold more.
+PLAIN_ROWS = 1 << 16
 
 
 def block_of(position, width=BLOCK_ROWS):
@@ -23,6 +25,14 @@ def block_of(position, width=BLOCK_ROWS):
     return F.col(position) - F.pmod(F.col(position), F.lit(width).cast("bigint"))
 
 
+def levels_of(table, columns):
+    """The block columns that ``table`` needs: none where all its rows fit a task.
+
+    Counts the rows, so the table should be a written one.
+    """
+    return list(columns) if table.count() > PLAIN_ROWS else []
+
+
 def next_multiple(position, step):
     """The first multiple of ``step`` that is not before an integer position."""
     return F.col(position) + F.pmod(-F.col(position), F.lit(step).cast("bigint"))

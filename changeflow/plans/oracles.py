@@ -111,6 +111,20 @@ queue AS (
   SELECT seq, ts_s + 60 * (1 + seq % 5), server_uuid, -1 FROM log
 )"""
 
+# Transaction sets as one row per transaction; islands are runs of neighbouring numbers.
+EXECUTED = """,
+executed AS (
+  SELECT 'srv' || s AS server_uuid, unnest(range(1, 1001 - 500 * s)) AS gno FROM range(2) t(s)
+)"""
+
+ISLANDS = """
+SELECT server_uuid, min(gno) AS gno_start, max(gno) AS gno_end
+FROM (SELECT server_uuid, gno, gno - row_number() OVER (PARTITION BY server_uuid ORDER BY gno) AS island
+      FROM ({}))
+GROUP BY server_uuid, island"""
+SET_OF = "SELECT server_uuid, gno FROM log WHERE action IN ({})"
+ROWS_SET = SET_OF.format("'insert', 'update', 'delete'")
+
 
 def _with(ctes, select, recursive=False):
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{select}"
@@ -286,6 +300,19 @@ FROM log"""),
     "q_seek_position": _with(LOG, """
 SELECT seq, binlog_file, binlog_pos FROM log
 WHERE (binlog_file, binlog_pos) >= ('bin.000002', 40004)"""),
+    "q_gtid_union": _with(LOG + EXECUTED, ISLANDS.format(f"SELECT * FROM executed UNION {ROWS_SET}")),
+    "q_gtid_subtract": _with(LOG + EXECUTED, ISLANDS.format(
+        SET_OF.format("'update', 'ddl'") + " EXCEPT SELECT * FROM executed")),
+    "q_gtid_intersect": _with(LOG + EXECUTED, ISLANDS.format(
+        SET_OF.format("'insert', 'delete'") + " INTERSECT SELECT * FROM executed")),
+    "q_gtid_contained": _with(LOG + EXECUTED + f""", have AS ({ROWS_SET})""", """
+SELECT e.server_uuid, count(h.gno) = count(*) AS contained, count(*) - count(h.gno) AS n_missing
+FROM executed e LEFT JOIN have h USING (server_uuid, gno) GROUP BY e.server_uuid"""),
+    "q_gtid_set_text": _with(LOG + f""", islands AS ({ISLANDS.format(ROWS_SET)})""", """
+SELECT server_uuid, server_uuid || ':' || string_agg(
+         CASE WHEN gno_start = gno_end THEN CAST(gno_start AS VARCHAR) ELSE gno_start || '-' || gno_end END,
+         ':' ORDER BY gno_start) AS gtid_set
+FROM islands GROUP BY server_uuid"""),
     "q_seek_gtid": _with(LOG, """
 SELECT seq, server_uuid, gno FROM log
 WHERE NOT (server_uuid = 'srv0' AND gno BETWEEN 1 AND 1000)

@@ -9,7 +9,7 @@ from changeflow.functions import (
     resume_gtid_set,
     table_key,
 )
-from changeflow.operators import alerts, catalog, envelope, filters, progress, reports, rows
+from changeflow.operators import alerts, catalog, envelope, filters, progress, reports, rows, transaction_sets
 from changeflow.operators.throttle import silence_alerts, throttle_checkpoints
 from changeflow.plans import inputs
 from changeflow.session import scratch_path, written
@@ -99,12 +99,51 @@ def q_seek_position(spark, sf_dir):
 @query
 def q_seek_gtid(spark, sf_dir):
     log = inputs.change_log(spark, sf_dir).select("seq", "server_uuid")
-    executed = spark.range(2).select(
+    return skip_executed(inputs.numbered(log), _executed_set(spark))
+
+
+def _executed_set(spark):
+    return spark.range(2).select(
         F.concat(F.lit("srv"), F.col("id").cast("string")).alias("server_uuid"),
         F.lit(1).cast("bigint").alias("gno_start"),
         (1000 - 500 * F.col("id")).alias("gno_end"),
     )
-    return skip_executed(inputs.numbered(log), executed)
+
+
+def _seen(spark, sf_dir, actions):
+    """The transactions of the log's changes of some kinds, as intervals."""
+    log = inputs.numbered(inputs.change_log(spark, sf_dir).select("seq", "server_uuid", "action"))
+    return transaction_sets.observed_set(log.filter(F.col("action").isin(actions)))
+
+
+@query
+def q_gtid_union(spark, sf_dir):
+    """What was executed before, and all row changes of the log."""
+    return transaction_sets.union_sets(_executed_set(spark), _seen(spark, sf_dir, ["insert", "update", "delete"]))
+
+
+@query
+def q_gtid_subtract(spark, sf_dir):
+    """Updates and DDL of the log that were not executed before."""
+    return transaction_sets.subtract_sets(_seen(spark, sf_dir, ["update", "ddl"]), _executed_set(spark))
+
+
+@query
+def q_gtid_intersect(spark, sf_dir):
+    """Inserts and deletes of the log that were executed before."""
+    return transaction_sets.intersect_sets(_seen(spark, sf_dir, ["insert", "delete"]), _executed_set(spark))
+
+
+@query
+def q_gtid_contained(spark, sf_dir):
+    """Whether the log holds all that was executed before, leaving out its DDL."""
+    return transaction_sets.contained(_executed_set(spark), _seen(spark, sf_dir, ["insert", "update", "delete"]))
+
+
+@query
+def q_gtid_set_text(spark, sf_dir):
+    """Per server, the row changes of the log as a transaction-set text."""
+    return transaction_sets.server_texts(_seen(spark, sf_dir, ["insert", "update", "delete"]))
 
 
 @query

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changeflow.operators.intervals import locate
 from changeflow.operators.ordered import block_of, running_total
+from changeflow.operators.transaction_sets import segments
 from changeflow.schemas import CHANGE_SCHEMA
 
 
@@ -114,25 +116,12 @@ def number_changes(changes, width=1 << 20):
 def skip_executed(changes, executed, width=1 << 20):
     """Changes whose transaction the executed set does not contain.
 
-    ``executed`` holds inclusive intervals ``gno_start .. gno_end`` per server.
-    Intervals are cut at multiples of ``width``, so the test is an equi-join on
-    server and block: Spark broadcasts a small set, and for a large one a block
-    holds at most ``width`` transactions of a server.
+    ``executed`` holds inclusive intervals ``gno_start .. gno_end`` per server, which may overlap. They are
+    brought to the fewest intervals, and these with the gaps between them are looked up by dyadic
+    pieces: a set of one interval is one lookup by server whatever its length, and Spark broadcasts
+    a small set.
     """
-    pieces = executed.select(
-        "server_uuid",
-        "gno_start",
-        "gno_end",
-        F.explode(
-            F.sequence(
-                block_of("gno_start", width), block_of("gno_end", width), F.lit(width).cast("bigint")
-            )
-        ).alias("_block"),
+    found = locate(
+        changes, ["server_uuid"], "gno", segments([executed], lambda held: held, width), "gno_start", "gno_end", ["holds"]
     )
-    blocked = changes.withColumn("_block", block_of("gno", width))
-    contained = (
-        (blocked["server_uuid"] == pieces["server_uuid"])
-        & (blocked["_block"] == pieces["_block"])
-        & blocked["gno"].between(pieces["gno_start"], pieces["gno_end"])
-    )
-    return blocked.join(pieces, contained, "left_anti").drop("_block")
+    return found.filter(~F.coalesce("holds", F.lit(False))).drop("holds")
