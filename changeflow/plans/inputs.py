@@ -153,19 +153,22 @@ def catalog_columns(spark, sf_dir):
 def catalog_versions(spark, sf_dir):
     """A schema history: every DDL on a catalog table sets a new version, with one
     more column after odd events."""
+    return catalog(spark).unionByName(versions_of(change_log(spark, sf_dir)).drop("ts_s"))
+
+
+def versions_of(log):
+    """The versions that a log's DDL sets, with its time; a table or a stream."""
     base = F.array(*map(F.lit, BASE_COLUMNS))
     more = F.array(*map(F.lit, [*BASE_COLUMNS, "extra"]))
-    history = (
-        change_log(spark, sf_dir)
-        .filter("action = 'ddl' AND table_name <> 't4'")
+    return (
+        log.filter("action = 'ddl' AND table_name <> 't4'")
         .select(
             "schema_name", "table_name",
             F.when(F.col("seq") % 2 == 1, more).otherwise(base).alias("columns"),
-            F.col("seq").alias("valid_from"),
+            F.col("seq").alias("valid_from"), "ts_s",
         )
         .withColumn("n_cols", F.size("columns"))
     )
-    return catalog(spark).unionByName(history)
 
 
 def gtids(spark, sf_dir):
@@ -184,7 +187,11 @@ def queue_events(spark, sf_dir):
 
 
 def state_changes(spark, sf_dir):
-    log = change_log(spark, sf_dir)
+    return states_of(change_log(spark, sf_dir))
+
+
+def states_of(log):
+    """A state of one component per event; a table or a stream."""
     names = F.array(F.lit("canal"), F.lit("endpoint"), F.lit("transfer"))
     return log.select(
         "seq", "ts_s",

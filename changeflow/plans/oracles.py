@@ -408,6 +408,11 @@ SELECT seq, row_index, key FROM audited WHERE outcome = 'unknown_table'"""),
     "q_schema_as_of": _with(MSG + CAT + VERSIONS, FIT.format(
         join="ASOF LEFT JOIN versions v ON m.schema_name = v.schema_name "
         "AND m.table_name = v.table_name AND m.seq >= v.valid_from")),
+    "q_stream_schema_as_of": _with(MSG + CAT + VERSIONS, FIT.format(
+        join="ASOF LEFT JOIN versions v ON m.schema_name = v.schema_name "
+        "AND m.table_name = v.table_name AND m.seq >= v.valid_from")),
+    "q_stream_health": _with(LOG + STATES, "SELECT * FROM health"),
+    "q_stream_executed": _with(LOG, ISLANDS.format("SELECT server_uuid, seq AS gno FROM log")),
     "q_catalog_upsert": _with(LOG + CAT + VERSIONS, f"""
 SELECT schema_name, table_name, columns, n_cols, valid_from FROM {NEWEST} v
 WHERE schema_name IN ('db0', 'db1')"""),

@@ -392,7 +392,7 @@ def q_unknown_tables(spark, sf_dir):
     ).select("seq", "row_index", "key")
 
 
-def _fit(resolved):
+def version_fields(resolved):
     exploded = rows.row_messages(resolved)
     return exploded.select(
         "seq", "row_index", "key", "valid_from", "n_cols", catalog.arity_ok().alias("fits")
@@ -402,13 +402,13 @@ def _fit(resolved):
 @query
 def q_schema_latest(spark, sf_dir):
     log = inputs.rows_only(filters.allow_rows(inputs.change_log(spark, sf_dir), SCHEMAS))
-    return _fit(catalog.resolve_latest(log, inputs.catalog_versions(spark, sf_dir)))
+    return version_fields(catalog.resolve_latest(log, inputs.catalog_versions(spark, sf_dir)))
 
 
 @query
 def q_schema_as_of(spark, sf_dir):
     log = inputs.rows_only(filters.allow_rows(inputs.change_log(spark, sf_dir), SCHEMAS))
-    return _fit(catalog.resolve_as_of(log, inputs.catalog_versions(spark, sf_dir)))
+    return version_fields(catalog.resolve_as_of(log, inputs.catalog_versions(spark, sf_dir)))
 
 
 @query

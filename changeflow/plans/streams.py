@@ -6,15 +6,20 @@ from changeflow.operators import catalog, filters, reports, rows
 from changeflow.operators.alerts import fan_out, health_alerts
 from changeflow.operators.throttle import SILENCE_GAP
 from changeflow.plans import inputs
-from changeflow.plans.queries import SCHEMAS, ddl_fields, envelope_fields, query
+from changeflow.plans.queries import SCHEMAS, ddl_fields, envelope_fields, query, version_fields
 from changeflow.session import scratch_path
 from changeflow.sources import stream_changes
 from changeflow.streaming import (
     ddl_log,
     delivered_log,
+    executed_set,
+    health_log,
     kept_log,
     relay_progress,
+    resolved_log,
+    start_health,
     start_relay,
+    start_schema_as_of,
     start_throttle,
 )
 
@@ -118,3 +123,29 @@ def q_stream_sends(spark, sf_dir):
         stream.withColumn("order", F.col("ts_s")), "stream-sends", keys=["channel"], time="ts_s",
         order="order", gap=SILENCE_GAP, strict=False, delay=0, succeeded="send_ok",
     ).drop("order")
+
+
+@query
+def q_stream_executed(spark, sf_dir):
+    """The set of transactions that the relay itself has saved."""
+    return executed_set(spark, _relayed(spark, sf_dir))
+
+
+@query
+def q_stream_schema_as_of(spark, sf_dir):
+    """Changes resolved on a stream as of their own place, against versions that come as a stream too."""
+    changes, path = _changes(spark, sf_dir), scratch_path(spark, "schema-stream")
+    log = filters.allow_rows(changes, SCHEMAS).select(*inputs.rows_only(changes).columns)
+    start_schema_as_of(
+        log, inputs.versions_of(changes), path, f"{path}/progress", "ts_s",
+        delay=0, base=inputs.catalog(spark), follow="changes",
+    ).awaitTermination()
+    return version_fields(resolved_log(spark, path, log.schema))
+
+
+@query
+def q_stream_health(spark, sf_dir):
+    """Health checks on a stream of states, by timers."""
+    states, path = inputs.states_of(_changes(spark, sf_dir)), scratch_path(spark, "health")
+    start_health(states, path, f"{path}/progress", inputs.HEALTH_PERIOD_S, "0 seconds").awaitTermination()
+    return health_log(spark, path)

@@ -1,10 +1,12 @@
 """Session defaults and the shared scratch folder."""
 
 import atexit
+import contextlib
 import os
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -15,6 +17,7 @@ ROCKSDB_PROVIDER = (
 
 
 _LOCAL = []
+_SCOPE = threading.local()
 
 
 def build_session(app_name="changeflow", master=None, **conf):
@@ -69,4 +72,26 @@ def written(df, name, partition_by=()):
 
 def scratch_path(spark, name):
     """A path under the shared folder that no other call returns."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    if getattr(_SCOPE, "paths", None) is not None:
+        _SCOPE.paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def passing_tables(spark):
+    """Remove the tables ``written`` inside, once they have been read; for each batch of a stream."""
+    before, _SCOPE.paths = getattr(_SCOPE, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _SCOPE.paths = _SCOPE.paths, before
+        for path in paths:
+            remove_folder(spark, path)
+
+
+def remove_folder(spark, path):
+    """Remove a folder of any file system Spark can write to."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,9 +1,10 @@
 from changeflow.sinks.tables import (
     append_checkpoints,
     batch_path,
+    landed,
     write_batch,
     write_change_log,
     write_kafka,
 )
 
-__all__ = ["append_checkpoints", "batch_path", "write_batch", "write_change_log", "write_kafka"]
+__all__ = ["append_checkpoints", "batch_path", "landed", "write_batch", "write_change_log", "write_kafka"]

@@ -1,5 +1,6 @@
 """Writing results. File writes are idempotent per batch."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 
@@ -23,6 +24,16 @@ def batch_path(path, batch_id, run=None):
     return f"{path}/batch_id={batch_id}" if run is None else f"{path}/run={run}/batch_id={batch_id}"
 
 
+def landed(spark, path, schema):
+    """What batches have written under ``path``; no rows where none has yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def append_checkpoints(saved, path, batch_id=0, run=None):
     """Append saved transaction ids, with their log position where it is known.
 

@@ -3,27 +3,36 @@ from changeflow.streaming.relay import (
     ddl_log,
     dead_letter_log,
     delivered_log,
+    executed_set,
     relay_progress,
     replay,
     row_log,
     start_catalog,
     start_relay,
 )
+from changeflow.streaming.health import health_log, start_health
 from changeflow.streaming.rate_limit import kept_log, late_log, start_throttle
 from changeflow.streaming.stateful import throttle_stream
+from changeflow.streaming.versions import late_changes, resolved_log, start_schema_as_of
 
 __all__ = [
     "current_catalog",
     "ddl_log",
     "dead_letter_log",
     "delivered_log",
+    "executed_set",
+    "health_log",
     "kept_log",
+    "late_changes",
     "late_log",
     "relay_progress",
     "replay",
+    "resolved_log",
     "row_log",
     "start_catalog",
+    "start_health",
     "start_relay",
+    "start_schema_as_of",
     "start_throttle",
     "throttle_stream",
 ]

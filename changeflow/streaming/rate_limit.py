@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from changeflow.operators.throttle import throttle
-from changeflow.sinks import write_batch
-from changeflow.streaming.runs import run_of
+from changeflow.session import passing_tables
+from changeflow.sinks import landed, write_batch
+from changeflow.streaming.runs import RunState, run_of
 
 _CARRIED = "_carried"
 
@@ -23,24 +24,25 @@ def start_throttle(
     Each batch runs the batch operator's scan over what became due, cut into chunks, so a hot key
     is spread over tasks. Between batches a run keeps, per batch, the waiting rows and each key's
     last anchor, under ``path/state``; a retried batch starts from the state of the one before
-    and replaces its own files.
+    and replaces its own files, and older state is removed.
     """
     schema = events.schema
 
     def step(batch, batch_id):
-        spark, run = batch.sparkSession, run_of(batch, checkpoint_location)
-
-        def state(name, number):
-            return f"{path}/state/{name}/run={run}/batch_id={number}"
+        with passing_tables(batch.sparkSession):
+            decide(batch, batch_id)
 
+    def decide(batch, batch_id):
+        spark, run = batch.sparkSession, run_of(batch, checkpoint_location)
+        state = RunState(spark, path, run, batch_id)
         batch = batch.persist()
         try:
             newest = batch.agg(F.max(time)).first()[0]
             mark, waiting, anchors = None, None, None
             if batch_id:
-                mark = spark.read.parquet(state("mark", batch_id - 1)).first()[0]
-                waiting = spark.read.schema(schema).parquet(state("waiting", batch_id - 1))
-                anchors = spark.read.schema(anchor_schema).parquet(state("anchors", batch_id - 1))
+                mark = state.before("mark", "mark long").first()[0]
+                waiting = state.before("waiting", schema)
+                anchors = state.before("anchors", anchor_schema)
             known = [x for x in (mark, None if newest is None else newest - delay) if x is not None]
             due_at = max(known, default=None)
             is_late = F.lit(False) if mark is None else F.col(time) <= mark
@@ -77,10 +79,10 @@ def start_throttle(
             }
             for name, rows in outputs.items():
                 write_batch(rows, f"{path}/{name}", batch_id, run=run)
-            write_batch(fresh.filter(~is_due), f"{path}/state/waiting", batch_id, run=run)
-            write_batch(last.filter("_at IS NOT NULL"), f"{path}/state/anchors", batch_id, run=run)
-            marks = spark.range(1).select(F.lit(due_at).cast("bigint").alias("mark"))
-            write_batch(marks, f"{path}/state/mark", batch_id, run=run)
+            state.leave("waiting", fresh.filter(~is_due))
+            state.leave("anchors", last.filter("_at IS NOT NULL"))
+            state.leave("mark", spark.range(1).select(F.lit(due_at).cast("bigint").alias("mark")))
+            state.forget(("waiting", "anchors", "mark"))
         finally:
             batch.unpersist()
 
@@ -93,9 +95,9 @@ def start_throttle(
 
 def kept_log(spark, path, schema):
     """All rows kept so far."""
-    return spark.read.schema(schema).parquet(f"{path}/kept").select(*schema.fieldNames())
+    return landed(spark, f"{path}/kept", schema).select(*schema.fieldNames())
 
 
 def late_log(spark, path, schema):
     """All rows that came after their second was decided."""
-    return spark.read.schema(schema).parquet(f"{path}/late").select(*schema.fieldNames())
+    return landed(spark, f"{path}/late", schema).select(*schema.fieldNames())

@@ -8,8 +8,10 @@ from changeflow.operators.catalog import upsert_catalog
 from changeflow.operators.envelope import MESSAGE_LIMIT, audit, ddl_envelope, fits_message
 from changeflow.operators.filters import allow_ddl, allow_rows, allowed
 from changeflow.operators.rows import row_messages
+from changeflow.operators.transaction_sets import coalesced, observed_set
 from changeflow.schemas import CATALOG_SCHEMA, CHANGE_SCHEMA, CHECKPOINT_SCHEMA, ROW_LOG_SCHEMA
-from changeflow.sinks import append_checkpoints, batch_path, write_batch
+from changeflow.session import passing_tables
+from changeflow.sinks import append_checkpoints, batch_path, landed, write_batch
 from changeflow.sources.changes import MALFORMED, malformed, well_formed
 from changeflow.streaming.runs import run_of
 
@@ -27,7 +29,8 @@ def start_relay(
     ``path/checkpoints``. Folders carry the stream's own id and the batch number, so a
     batch that is retried after a failure replaces its own files, and a relay started with
     a new checkpoint location adds to what an older one wrote; a queue behind
-    ``publish`` sees a retried batch again (at least once).
+    ``publish`` sees a retried batch again (at least once). The transactions of each batch are saved as
+    intervals under ``path/executed``, right before; ``executed_set`` reads them as one set.
 
     Delivered rows are stored as their body, others with their images for a replay.
 
@@ -43,7 +46,8 @@ def start_relay(
         # Read once from the source, used for rows, DDL and progress.
         batch = batch.persist()
         try:
-            write_all(batch, batch_id)
+            with passing_tables(batch.sparkSession):
+                write_all(batch, batch_id)
         finally:
             batch.unpersist()
 
@@ -78,6 +82,7 @@ def start_relay(
                 for name, audited in messages.items()
             ]
             publish(*sent, batch_id)
+        write_batch(observed_set(batch), f"{path}/executed", batch_id, run=run)
         newest = (
             batch.groupBy("server_uuid")
             .agg(
@@ -109,7 +114,7 @@ def stored_rows(audited):
 def row_log(spark, path, schema=ROW_LOG_SCHEMA):
     """All row messages with their outcome; no rows from a relay that saw none."""
     outcome = T.StructType([*schema.fields, T.StructField("outcome", T.StringType())])
-    return spark.read.schema(outcome).parquet(f"{path}/rows")
+    return landed(spark, f"{path}/rows", outcome)
 
 
 def delivered_log(spark, path, schema=ROW_LOG_SCHEMA):
@@ -128,17 +133,25 @@ def dead_letter_log(spark, path, schema=ROW_LOG_SCHEMA):
 def ddl_log(spark, path):
     """All DDL messages with their outcome."""
     schema = "seq long, ts_s long, schema_name string, action string, query string, error_code int, execution_time long, status_vars binary, value string, outcome string"
-    return spark.read.schema(schema).parquet(f"{path}/ddl")
+    return landed(spark, f"{path}/ddl", schema)
 
 
 def relay_progress(spark, path):
     """Where the relay stands on each server: log file, position and transaction id."""
-    saved = spark.read.schema(CHECKPOINT_SCHEMA).parquet(f"{path}/checkpoints")
+    saved = landed(spark, f"{path}/checkpoints", CHECKPOINT_SCHEMA)
     return saved.groupBy("server_uuid").agg(
         *[F.max_by(c, "saved_seq").alias(c) for c in ("binlog_file", "binlog_pos", "gtid_set")]
     )
 
 
+def executed_set(spark, path):
+    """All transactions the relay has handled, in the fewest intervals, as ``skip_executed`` takes them.
+
+    Unlike the newest id of a server it has holes where transactions came out of order or were never seen.
+    """
+    return coalesced(landed(spark, f"{path}/executed", "server_uuid string, gno_start long, gno_end long"))
+
+
 def start_catalog(versions, path, checkpoint_location, schemas=(), tables=(), interval=None):
     """Keep the catalog of the allowed tables from a stream of schema versions.
 
@@ -158,7 +171,7 @@ def start_catalog(versions, path, checkpoint_location, schemas=(), tables=(), in
 
 def current_catalog(spark, path):
     """The newest version of each table that ``start_catalog`` has seen."""
-    return upsert_catalog(spark.read.schema(CATALOG_SCHEMA).parquet(path))
+    return upsert_catalog(landed(spark, path, CATALOG_SCHEMA))
 
 
 def replay(dead_letters, catalog, limit=MESSAGE_LIMIT):

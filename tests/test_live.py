@@ -1,0 +1,237 @@
+"""Streams that carry state of their own: schema versions, health timers, executed sets; across restarts."""
+
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from changeflow.operators.alerts import health_alerts
+from changeflow.operators.catalog import resolve_as_of
+from changeflow.schemas import CATALOG_SCHEMA, CHECKPOINT_SCHEMA
+from changeflow.session import scratch_path, shared_dir
+from changeflow.sources import skip_executed, stream_changes
+from changeflow.streaming import (
+    current_catalog,
+    ddl_log,
+    executed_set,
+    health_log,
+    kept_log,
+    late_changes,
+    relay_progress,
+    resolved_log,
+    row_log,
+    start_health,
+    start_relay,
+    start_schema_as_of,
+    start_throttle,
+)
+from changeflow.plans import inputs
+
+CHANGES = "seq long, ts_s long, schema_name string, table_name string"
+VERSIONS = "schema_name string, table_name string, columns array<string>, n_cols int, valid_from long, ts_s long"
+STATES = "seq long, ts_s long, component string, state int, relay string"
+
+
+def land(spark, rows, schema, path):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+# --- schema versions -----------------------------------------------------------------------------
+
+
+class Pair:
+    """A change stream and a version stream landed side by side."""
+
+    def __init__(self, spark, **options):
+        self.spark, self.path, self.options = spark, scratch_path(spark, "pair"), options
+        land(spark, [], CHANGES, f"{self.path}/changes")
+        land(spark, [], VERSIONS, f"{self.path}/versions")
+
+    def run(self, changes=(), versions=()):
+        if changes:
+            land(self.spark, changes, CHANGES, f"{self.path}/changes")
+        if versions:
+            land(self.spark, versions, VERSIONS, f"{self.path}/versions")
+        sides = [
+            self.spark.readStream.schema(schema).parquet(f"{self.path}/{name}")
+            for name, schema in (("changes", CHANGES), ("versions", VERSIONS))
+        ]
+        start_schema_as_of(
+            *sides, self.path, f"{self.path}/progress", "ts_s", **self.options
+        ).awaitTermination()
+
+    def resolved(self):
+        schema = self.spark.createDataFrame([], CHANGES).schema
+        return {r.seq: r.valid_from for r in resolved_log(self.spark, self.path, schema).collect()}
+
+    def late(self):
+        return [r.seq for r in late_changes(self.spark, self.path, self.spark.createDataFrame([], CHANGES).schema).collect()]
+
+
+def change(seq, table="t"):
+    return (seq, seq, "s", table)
+
+
+def version(at, table="t", n=1):
+    return ("s", table, ["c"] * n, n, at, at)
+
+
+def test_a_change_waits_for_its_version(spark):
+    pair = Pair(spark, delay=0)
+    pair.run([change(5), change(15)], [version(0), version(3)])
+    assert pair.resolved() == {}
+    pair.run(versions=[version(10), version(12)])
+    assert pair.resolved() == {5: 3}
+    pair.run([change(40)], [version(30, "other")])
+    assert pair.resolved() == {5: 3, 15: 12}
+    pair.run(versions=[version(50)])
+    assert pair.resolved() == {5: 3, 15: 12, 40: 12} and pair.late() == []
+
+
+def test_late_changes_are_kept_apart(spark):
+    pair = Pair(spark, delay=5, follow="changes", base=spark.createDataFrame([("s", "t", ["b"], 1, -9)], CATALOG_SCHEMA))
+    pair.run([change(4), change(20)])
+    assert pair.resolved() == {4: -9}
+    pair.run([change(15), change(16), (None, 3, "s", "t"), (99, None, "s", "t")], [version(16)])
+    assert sorted(pair.late(), key=repr) == [15, None]
+    assert pair.resolved() == {4: -9, 99: 16}
+    pair.run([change(40)])
+    assert pair.resolved() == {4: -9, 16: 16, 20: 16, 99: 16}
+
+
+@pytest.mark.parametrize("delay", [0, 40])
+def test_stream_of_versions_agrees_with_batch(spark, delay):
+    rng = random.Random(delay)
+    changes = [change(n, rng.choice("abc")) for n in range(1, 400)]
+    versions = [version(rng.randrange(400), rng.choice("abd"), rng.randrange(1, 4)) for _ in range(60)] + [version(1000, "z")]
+    end = [change(1000, "z")]
+    pair = Pair(spark, delay=delay)
+    changes.sort(key=lambda r: r[1] + rng.randrange(delay + 1))
+    versions.sort(key=lambda r: r[5])
+    for i in range(5):
+        pair.run(changes[i * 80 : i * 80 + 80], versions[i * 13 : i * 13 + 13])
+    pair.run(end, versions[65:])
+    whole = resolve_as_of(
+        spark.createDataFrame(changes, CHANGES), spark.createDataFrame(versions, VERSIONS).drop("ts_s")
+    )
+    expected = {r.seq: r.valid_from for r in whole.collect()}
+    late = pair.late()
+    found = {s: v for s, v in pair.resolved().items() if s < 1000}
+    assert len(found) + len(late) == len(changes)
+    assert found == {s: v for s, v in expected.items() if s not in late}
+
+
+def folders(path):
+    return sorted(os.listdir(path))
+
+
+def test_state_does_not_grow_with_the_run(spark):
+    pair = Pair(spark, delay=0, follow="changes")
+    before = set(folders(shared_dir(spark)))
+    for i in range(6):
+        pair.run([change(10 * i)], [version(10 * i)])
+    for name in ("waiting", "versions", "marks"):
+        (run,) = [f for f in folders(f"{pair.path}/state/{name}") if f.startswith("run=")]
+        assert len([f for f in folders(f"{pair.path}/state/{name}/{run}") if f.startswith("batch_id=")]) == 2
+        if name == "versions":
+            kept = spark.read.parquet(f"{pair.path}/state/{name}/{run}/batch_id=5").count()
+            assert kept == 1
+    assert set(folders(shared_dir(spark))) == before
+
+
+def test_rate_limit_state_does_not_grow(spark):
+    path = scratch_path(spark, "limit")
+    schema = "k string, t long, n long"
+    before = set(folders(shared_dir(spark)))
+    for i in range(5):
+        land(spark, [("a", 10 * i, i)], schema, f"{path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{path}/in")
+        start_throttle(
+            stream, path, f"{path}/progress", keys=["k"], time="t", order="n", gap=15, strict=False, delay=0
+        ).awaitTermination()
+    for name in ("waiting", "anchors", "mark"):
+        (run,) = [f for f in folders(f"{path}/state/{name}") if f.startswith("run=")]
+        assert len([f for f in folders(f"{path}/state/{name}/{run}") if f.startswith("batch_id=")]) == 2
+    assert [r.t for r in kept_log(spark, path, stream.schema).orderBy("t").collect()] == [0, 20, 40]
+    assert set(folders(shared_dir(spark))) <= before | {os.path.basename(path)}
+
+
+# --- health --------------------------------------------------------------------------------------
+
+
+def run_health(spark, path, parts, **options):
+    for rows in parts:
+        land(spark, rows, STATES, f"{path}/in")
+        stream = spark.readStream.schema(STATES).parquet(f"{path}/in")
+        start_health(stream, path, f"{path}/progress", **options).awaitTermination()
+
+
+def test_timers_agree_with_batch_across_restarts(spark):
+    rng = random.Random(1)
+    rows, at = [], 7
+    for seq in range(160):
+        rows.append((seq, at, rng.choice(["canal", "endpoint", "transfer"]), rng.choice([0, 1, 1]), "r"))
+        at += rng.choice([0, 1, 1, 3, 40, 200])
+    path = scratch_path(spark, "health-test")
+    # A part ends with its check: what comes later for a check that was made is late.
+    ends = [i for i in range(1, 160) if -(-rows[i][1] // 5) > -(-rows[i - 1][1] // 5)]
+    cuts = [0, ends[len(ends) // 3], ends[2 * len(ends) // 3], 160]
+    run_health(spark, path, [rows[a:b] for a, b in zip(cuts, cuts[1:])], period=5, delay="0 seconds")
+    watched = spark.createDataFrame(rows, STATES)
+    columns = ["ts_s", "canal_state", "endpoint_state"]
+    assert rows_of(health_log(spark, path), *columns) == rows_of(health_alerts(watched, 5), *columns)
+
+
+def test_unordered_states_within_the_delay(spark):
+    rng = random.Random(2)
+    rows = [(s, 20 * s + 3, rng.choice(["canal", "endpoint"]), rng.randrange(2), "r") for s in range(60)]
+    shuffled = sorted(rows, key=lambda r: r[1] + rng.randrange(60))
+    path = scratch_path(spark, "health-late")
+    # The last row moves the watermark past all others.
+    parts = [shuffled[:20], shuffled[20:40], shuffled[40:], [(99, 5000, "canal", 1, "r")]]
+    run_health(spark, path, parts, period=5, delay="60 seconds")
+    whole = spark.createDataFrame(rows + [(99, 5000, "canal", 1, "r")], STATES)
+    columns = ["ts_s", "canal_state", "endpoint_state"]
+    upto = 5000 - 60
+    found = [r for r in rows_of(health_log(spark, path), *columns)]
+    assert found == [r for r in rows_of(health_alerts(whole, 5), *columns) if r[0] <= upto]
+
+
+def test_checks_fire_without_a_new_row(spark):
+    """While another relay moves the time on, a relay that is down and silent keeps alerting."""
+    path = scratch_path(spark, "health-timers")
+    down = [(1, 10, "canal", 1, "a"), (2, 10, "endpoint", 0, "a"), (3, 10, "canal", 1, "b"), (4, 10, "endpoint", 1, "b")]
+    run_health(spark, path, [down, [(5, 55, "canal", 1, "b")], [(6, 100, "canal", 1, "b")]], period=10, delay="0 seconds", key="relay")
+    found = rows_of(health_log(spark, path, key=True), "relay", "ts_s", "canal_state", "endpoint_state")
+    assert found == sorted([("a", t, 1, 0) for t in range(10, 101, 10)], key=repr)
+
+
+# --- executed sets, empty logs -------------------------------------------------------------------
+
+
+def test_relay_saves_the_set_it_has_handled(spark):
+    log = inputs.change_log(spark, "/root/testdata/sf0.001").withColumn("gno", 1 + F.col("seq") % 7 + 10 * F.col("seq"))
+    path = scratch_path(spark, "executed")
+    for low, high in ((0, 300), (500, 700), (300, 400)):
+        log.filter(F.col("seq").between(low, high - 1)).coalesce(1).write.mode("append").parquet(f"{path}/log")
+        stream = stream_changes(spark, f"{path}/log", schema=log.schema)
+        start_relay(stream, inputs.catalog(spark), path, f"{path}/progress").awaitTermination()
+    done = executed_set(spark, path)
+    n = done.agg(F.sum(F.col("gno_end") - F.col("gno_start") + 1)).first()[0]
+    handled = log.filter("seq < 400 OR seq BETWEEN 500 AND 699").select("server_uuid", "gno").distinct()
+    assert n == handled.count()
+    left = skip_executed(log.select("seq", "server_uuid", "gno"), done)
+    assert rows_of(left, "seq") == rows_of(log.filter("seq BETWEEN 400 AND 499 OR seq >= 700"), "seq")
+
+
+def test_logs_of_a_relay_that_has_not_written(spark):
+    path = scratch_path(spark, "nothing")
+    assert row_log(spark, path).count() == ddl_log(spark, path).count() == 0
+    assert relay_progress(spark, path).collect() == executed_set(spark, path).collect() == []
+    assert current_catalog(spark, path).collect() == health_log(spark, path).collect() == []
+    assert kept_log(spark, path, CHECKPOINT_SCHEMA).columns == CHECKPOINT_SCHEMA.fieldNames()
