@@ -71,7 +71,8 @@ def dedup_lines(docs, site="source", min_sites=MIN_SITES, margin=MARGIN):
 
     Returns doc_id, n_lines, n_removed, text. A null text stays null with no lines; a document of
     boilerplate alone becomes an empty text; blank lines stay. Rows that repeat an id are cleaned
-    each; repeated rows do not add to a line's spread.
+    each; repeated rows do not add to a line's spread. A very long text costs time in proportion to its lines. An
+    empty table gives no rows. Columns other than doc_id, text and ``site`` are not read, whatever their names.
     """
     spread = written(spread_lines(docs, site, min_sites, margin), "spread-lines")
     rows = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"), row_key(docs).alias("row"))
@@ -85,9 +86,12 @@ def dedup_lines(docs, site="source", min_sites=MIN_SITES, margin=MARGIN):
         .withColumnRenamed("row", "removed_row")
     )
     joined = rows.join(removed, rows["row"] == removed["removed_row"], "left")
-    parts, places = lines_of(joined), F.col("places")
-    kept = F.filter(parts, lambda _, at: ~F.array_contains(places, at))
-    return joined.select(
+    parts, places = F.col("parts"), F.col("places")
+    # By place and not by search, so that a document costs time in proportion to its lines. A document with
+    # places has lines, so the sequence ascends.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), places)
+    kept = F.transform(stay, lambda at: F.get(parts, at))
+    return joined.select("doc_id", "text", "places", lines_of(joined).alias("parts")).select(
         "doc_id",
         F.size(parts).alias("n_lines"),
         F.coalesce(F.size(places), F.lit(0)).alias("n_removed"),
