@@ -123,14 +123,20 @@ def assign(sizes, buckets):
 
 
 def write_shards(docs, assigned, path):
-    """Write whole documents to one folder per shard, named by its bits."""
+    """Write whole documents to one folder per shard, named by its bits.
+
+    The folder's column is ``shard``, or ``shard_folder`` where documents have a ``shard`` of their own.
+    """
+    folder = "shard"
+    while folder in [c.lower() for c in docs.columns]:
+        folder += "_folder"
     by_id = assigned.select(
-        F.col("doc_id").alias("__id"), F.concat(F.lit("b"), F.col("shard")).alias("shard")
+        F.col("doc_id").alias("__assigned_id"), F.concat(F.lit("b"), F.col("shard")).alias(folder)
     ).distinct()
     (
-        docs.join(by_id, docs["doc_id"].eqNullSafe(by_id["__id"]))
-        .drop("__id")
-        .repartition("shard")
-        .write.partitionBy("shard")
+        docs.join(by_id, docs["doc_id"].eqNullSafe(by_id["__assigned_id"]))
+        .drop("__assigned_id")
+        .repartition(folder)
+        .write.partitionBy(folder)
         .parquet(path)
     )
