@@ -47,6 +47,8 @@ FRAGMENT_GRAMS = 4_000_000
 SEGMENTS = 8
 SALT_ROWS = 1024
 SALTS = 64
+#: n-grams a task holds before it sends what it has counted or placed.
+COMBINE = 4_000_000
 
 WORD_BYTES = byte_set(SPACES, inverted=True)
 LOW = U(0xFFFFFFFF)
@@ -130,31 +132,51 @@ def fragment_of(grams, fragments):
 
 
 def _counted_in_task(n, fragments):
-    def count(batches):
-        held = []
-        for grams, _, _ in _each_class_once(batches, n):
-            held.append(grams)
-        if not held:
-            return
+    """Distinct keys of a task with their counts, sent whenever ``COMBINE`` n-grams are held."""
+
+    def combined(held):
         grams = np.sort(np.concatenate(held))
-        held.clear()
         cuts = np.searchsorted(fragment_of(grams, fragments), np.arange(fragments + 1, dtype=U))
         for fragment in range(fragments):
-            keys = np.sort((grams[cuts[fragment] : cuts[fragment + 1]] & LOW).astype(np.uint32))
-            if len(keys):
-                steps = np.diff(keys, prepend=np.uint32(0))
+            low = (grams[cuts[fragment] : cuts[fragment + 1]] & LOW).astype(np.uint32)
+            if len(low):
+                keys, counts = np.unique(low, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([fragment], pa.int32()), pa.array([_planes(steps, "<u4")], pa.binary())],
-                    names=["fragment", "steps"],
+                    [
+                        pa.array([fragment], pa.int32()),
+                        pa.array([_planes(np.diff(keys, prepend=np.uint32(0)), "<u4")], pa.binary()),
+                        pa.array([_planes(counts - 1, "<u4")], pa.binary()),
+                    ],
+                    names=["fragment", "steps", "again"],
                 )
 
+    def count(batches):
+        held, size = [], 0
+        for grams, _, _ in _each_class_once(batches, n):
+            held.append(grams)
+            size += len(grams)
+            if size >= COMBINE:
+                yield from combined(held)
+                held, size = [], 0
+        if held:
+            yield from combined(held)
+
     return count
 
 
+def _summed(table):
+    """Keys of one fragment with their counts over all tasks."""
+    keys = np.concatenate([np.cumsum(_from_planes(c.as_buffer(), "<u4"), dtype=np.uint32) for c in table.column("steps")])
+    counts = np.concatenate([_from_planes(c.as_buffer(), "<u4").astype(np.int64) + 1 for c in table.column("again")])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ np.uint32(1)))
+    return keys[first], np.add.reduceat(counts, first)
+
+
 def _frequent(least):
     def find(table):
-        keys = [np.cumsum(_from_planes(c.as_buffer(), "<u4"), dtype=np.uint32) for c in table.column("steps")]
-        keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+        keys, counts = _summed(table)
         fragment = table.column("fragment")[0].as_py()
         often = counts > least
         return pa.table(
@@ -172,7 +194,7 @@ def frequent_grams(docs, n, fragments, most=FREQUENT_KEYS):
 
     Where there are more, the least count goes up until they fit.
     """
-    runs = docs.select("text").mapInArrow(_counted_in_task(n, fragments), "fragment int, steps binary")
+    runs = docs.select("text").mapInArrow(_counted_in_task(n, fragments), "fragment int, steps binary, again binary")
     found = written(runs.groupBy("fragment").applyInArrow(_frequent(GROUP), "key long, n long"), "frequent")
     number = found.count()
     while number > most:
@@ -205,8 +227,18 @@ def _postings(n, fragments, frequent, percent):
         beyond = U(low_part) + (((grams >> U(32)) * U(fragments - low_part)) >> U(32))
         return np.where(grams < quarter, inside, np.minimum(beyond, U(fragments - 1))).astype(np.int64)
 
+    def blobs(held):
+        fragment, key, classes, sizes, rest = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((key, fragment))
+        fragment, key, classes, sizes, rest = (x[order] for x in (fragment, key, classes, sizes, rest))
+        cuts = np.searchsorted(fragment, np.arange(fragments + 1))
+        for f in range(fragments):
+            a, b = cuts[f], cuts[f + 1]
+            if b > a:
+                yield _blob(f, key[a:b], classes[a:b], sizes[a:b], rest[a:b])
+
     def post(batches):
-        held = []
+        held, size = [], 0
         for grams, sizes, classes in _each_class_once(batches, n):
             row = np.repeat(np.arange(len(sizes)), sizes)
             keys = ((fragment_of(grams, fragments) << U(32)) | (grams & LOW)).astype(np.int64)
@@ -227,16 +259,12 @@ def _postings(n, fragments, frequent, percent):
                     -1 - (mix(grams[heavy] ^ classes[row[heavy]].astype(U)) % U(fragments)).astype(np.int64),
                     keys[heavy], classes[row[heavy]], sizes[row[heavy]], sizes[row[heavy]] - rank[heavy], n_light[row[heavy]],
                 )
+            size += len(light)
+            if size >= COMBINE:
+                yield from blobs(held)
+                held, size = [], 0
         if held:
-            fragment, key, classes, sizes, rest = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            order = np.lexsort((key, fragment))
-            fragment, key, classes, sizes, rest = (x[order] for x in (fragment, key, classes, sizes, rest))
-            cuts = np.searchsorted(fragment, np.arange(fragments + 1))
-            for f in range(fragments):
-                a, b = cuts[f], cuts[f + 1]
-                if b > a:
-                    yield _blob(f, key[a:b], classes[a:b], sizes[a:b], rest[a:b])
+            yield from blobs(held)
 
     return post
 

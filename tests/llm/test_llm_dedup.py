@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 
 from changeflow.llm import bloom, components, exact_dedup, jaccard_join, line_dedup, suffix_dedup
@@ -65,6 +67,22 @@ def test_drop_copies_keeps_one_row_and_all_columns(spark):
     assert {r.doc_id for r in left.collect() if norm(r.text) == norm(rows[0][1])} == {1}
 
 
+# --- lines -------------------------------------------------------------------------------------
+
+
+def test_lines_of_a_very_long_document(spark):
+    """200,000 lines, half of them removed, in seconds and by brute force."""
+    common = "\n".join(f"common {i % 500}" for i in range(100_000))
+    own = "\n".join(f"own {i}" for i in range(100_000))
+    rows = [(i, common, "en", f"s{i}") for i in range(10)]
+    rows.append((99, "\n".join(x for pair in zip(common.split("\n"), own.split("\n")) for x in pair), "en", "s3"))
+    began = time.time()
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(table_of(spark, rows)).collect()}
+    assert time.time() - began < 120
+    assert found[99].text == own and (found[99].n_lines, found[99].n_removed) == (200_000, 100_000)
+    assert found[0].text == "" and found[0].n_removed == 100_000
+
+
 # --- near --------------------------------------------------------------------------------------
 
 
@@ -75,6 +93,31 @@ def shingles(text):
     return frozenset(tuple(found[i : i + 5]) for i in range(len(found) - 4))
 
 
+def test_counts_are_combined_before_they_are_sent(spark):
+    """A phrase in every document of a partition is one key with a count; runs are bounded by COMBINE."""
+    column = jaccard_join.pa.array([f"a b c d e own{i} x{i}" for i in range(3000)])
+    batches = [jaccard_join.pa.RecordBatch.from_arrays([column], names=["text"])] * 2
+    sent = list(jaccard_join._counted_in_task(5, 4)(iter(batches)))
+    table = jaccard_join.pa.Table.from_batches(sent)
+    counted = [
+        (f, k, c)
+        for f in range(4)
+        for k, c in zip(*(x.tolist() for x in jaccard_join._summed(table.filter(pc.equal(table["fragment"], f)))))
+    ]
+    grams = Counter(g for i in range(3000) for g in shingles(f"a b c d e own{i} x{i}"))
+    assert sum(c for *_, c in counted) == sum(grams.values()) == 9000
+    assert sorted(c for *_, c in counted) == sorted(grams.values())
+    keys = sum(len(c.as_buffer()) for c in table["steps"]) // 4
+    assert keys == len(grams)
+
+
+def test_long_tasks_send_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COMBINE", 50)
+    rows = corpus(5) + odd_rows()
+    found = jaccard_join.similar_groups(table_of(spark, rows)).select("doc_id", "n_shingles", "component_id")
+    assert rows_of(found) == brute_groups(rows)
+
+
 def brute_groups(rows):
     sets = [shingles(text) for _, text, *_ in rows]
     root = list(range(len(rows)))
