@@ -1,7 +1,8 @@
 """Best-fit packing of documents into training sequences of several permitted lengths.
 
 Documents are cut into pieces of at most the largest capacity. Pieces are dealt by hash into groups
-of bounded size, and each group is packed on its own: longest piece first, into the open bin with
+of bounded size; those equal in id, place and length are counted and dealt in short runs, so that an id which
+repeats, or is missing, in a third of all rows fills no group. Each group is packed on its own: longest piece first, into the open bin with
 the least room that still takes it. Where none does, a bin is opened at the capacity that costs
 least per token it is expected to hold: for every capacity the room behind the piece is filled on
 paper with the longest remaining pieces that fit, so the capacities compete with the pieces that are
@@ -18,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyspark.sql.functions as F
 
+from changeflow.operators.ordered import explode_ticks
 from changeflow.session import written
 
 from .feistel import token_counts
@@ -26,8 +28,8 @@ from .tables import WORD, text_of
 CAPACITIES = (512, 1024, 2048, 4096)
 BIN_COST = 64
 GROUP_PIECES = 8192
-#: Pieces that no fill can exceed, as each has a token. Nothing here is cut off at it.
-LOOK_AHEAD = max(CAPACITIES)
+#: Pieces equal in id, place and length are dealt in runs of so many.
+EQUAL_PIECES = 64
 
 PACKED = (
     "doc_id long, piece int, piece_start long, n_tokens int, bin_id string, "
@@ -128,8 +130,10 @@ def best_fit(
 ):
     """One row per piece: doc_id, piece, piece_start, n_tokens, bin_id, bin_offset, bin_used, bin_capacity.
 
-    Documents without tokens have no piece. Rows that repeat an id are packed each. The result depends
-    only on ids and lengths, never on how rows are partitioned.
+    Documents without tokens (null, empty or blank text) have no piece, an empty table no row. Rows that repeat an
+    id, or have none, are packed each and spread over groups. The result depends only on ids and lengths,
+    never on how rows are partitioned; of pieces of equal length the smaller id is placed first, a missing
+    one last. A very long text is many pieces. Other columns are not read, whatever their names.
     """
     capacities = tuple(sorted(capacities))
     # Written once: texts are read for their lengths only, and not again for the number of groups.
@@ -154,5 +158,14 @@ def best_fit(
             names=[c.split()[0] for c in PACKED.split(", ")],
         )
 
-    spread = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))
-    return cut.withColumn("pack_group", spread).groupBy("pack_group").applyInArrow(packed, PACKED)
+    return dealt(cut, groups).groupBy("pack_group").applyInArrow(packed, PACKED)
+
+
+def dealt(cut, groups):
+    """Every piece with its group; the same whatever the order and the partitions of the pieces."""
+    names = ["doc_id", "piece", "piece_start", "n_tokens"]
+    equal = cut.groupBy(*names).agg(F.count("*").alias("n"))
+    runs = explode_ticks(equal, F.lit(0).cast("bigint"), F.col("n") - 1, EQUAL_PIECES, "run", [*names, "n"])
+    size = F.least(F.col("n") - F.col("run"), F.lit(EQUAL_PIECES))
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "run"), F.lit(groups))
+    return runs.select(*names, spread.alias("pack_group"), F.explode(F.sequence(F.lit(1), size)).alias("_copy")).drop("_copy")

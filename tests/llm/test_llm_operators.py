@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from changeflow.llm import decontamination, feistel, packing, quality, sharding, url_filter
 from changeflow.llm.queries import QUERIES
@@ -291,14 +292,18 @@ def test_shards(spark, limit):
 
 def test_shard_files_hold_whole_rows(spark, tmp_path):
     rows = corpus(7)
-    docs = table_of(spark, rows).drop("shard")
+    docs = table_of(spark, rows)
     assigned = sharding.shards(docs, 5000)
     sharding.write_shards(docs, assigned, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.columns == [*docs.columns, "shard_folder"]
+    assert {r.shard for r in back.collect()} == {"x"}
     assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted(rows)
+    sharding.write_shards(docs.drop("shard"), assigned, str(tmp_path / "plain"))
+    assert spark.read.parquet(str(tmp_path / "plain")).columns[-1] == "shard"
     sizes = defaultdict(int)
     for r in back.collect():
-        sizes[r.shard] += len(r.text)
+        sizes[r.shard_folder] += len(r.text)
     assert max(sizes.values()) <= 5000
 
 
@@ -322,7 +327,7 @@ def plain_pack(lengths, capacities, bin_cost):
             best = None
             for c in sorted(c for c in capacities if c >= length):
                 room, pool = c - length, list(left)
-                for _ in range(packing.LOOK_AHEAD):
+                while True:
                     pool = [x for x in pool if x <= room]
                     if not pool:
                         break
@@ -379,6 +384,23 @@ def test_a_bin_is_filled_on_paper_until_nothing_fits(seed):
             assert found == plain_fill(lengths[left], capacity, lengths[:left])
 
 
+def test_an_id_in_every_row_fills_no_group(spark):
+    """100,000 rows without an id, and as many with one id, of one length."""
+    for doc_id in (None, 7):
+        rows = spark.range(100_000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit(0).alias("piece"),
+                                           F.lit(0).cast("long").alias("piece_start"), F.lit(9).alias("n_tokens"))
+        sizes = [r["count"] for r in packing.dealt(rows, 13).groupBy("pack_group").count().collect()]
+        assert len(sizes) == 13 and sum(sizes) == 100_000 and max(sizes) < 2 * packing.GROUP_PIECES
+
+
+def test_pieces_of_one_id_are_all_packed(spark):
+    rows = [(None, "a b c")] * 700 + [(1, "d e")] * 300 + [(2, None), (3, " ")]
+    packed = packing.best_fit(table_of(spark, rows), (16, 32), 4, group_pieces=200).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in packed) == {(None, 3): 700, (1, 2): 300}
+    assert len({r.bin_id.split("-")[0] for r in packed}) >= 4
+    assert packing.best_fit(table_of(spark, [])).collect() == []
+
+
 def test_packing_is_whole_and_better_than_one_capacity(spark):
     rows = corpus(2, groups=60) + odd_rows()
     docs = table_of(spark, rows)
