@@ -9,6 +9,7 @@ text is judged by its site, counts as a copy of any other, and takes no place in
 """
 
 from changeflow.llm import decontamination, exact_dedup, jaccard_join, packing, quality
+from changeflow.llm.queries import TOKENIZER
 from changeflow.llm.tables import keep_rows, table
 from changeflow.session import written
 
@@ -35,8 +36,8 @@ def benchmark_decontamination(spark, docs, sf_dir):
 
 
 def best_fit_packing(spark, docs, sf_dir):
-    """The pieces of every document with their bins."""
-    return packing.best_fit(docs)
+    """The pieces of every document with their bins, in tokens."""
+    return packing.best_fit(docs, tokenizer=TOKENIZER)
 
 
 STAGES = [
