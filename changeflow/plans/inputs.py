@@ -178,7 +178,12 @@ def gtids(spark, sf_dir):
 
 def queue_events(spark, sf_dir):
     """Each event enters the queue at its time and leaves it minutes later."""
-    log = change_log(spark, sf_dir).select("seq", "ts_s", "server_uuid")
+    return queue_of(change_log(spark, sf_dir))
+
+
+def queue_of(changes):
+    """What each event adds to the queue and takes from it; a table or a stream."""
+    log = changes.select("seq", "ts_s", "server_uuid")
     entering = log.withColumn("delta", F.lit(1))
     leaving = log.withColumn("ts_s", F.col("ts_s") + 60 * (1 + F.col("seq") % 5)).withColumn(
         "delta", F.lit(-1)

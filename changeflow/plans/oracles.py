@@ -412,6 +412,14 @@ SELECT seq, row_index, key FROM audited WHERE outcome = 'unknown_table'"""),
         join="ASOF LEFT JOIN versions v ON m.schema_name = v.schema_name "
         "AND m.table_name = v.table_name AND m.seq >= v.valid_from")),
     "q_stream_health": _with(LOG + STATES, "SELECT * FROM health"),
+    "q_stream_backlog": _with(LOG + QUEUE, """
+SELECT server_uuid, ts_s,
+       CAST(sum(sum(delta)) OVER (PARTITION BY server_uuid ORDER BY ts_s) AS BIGINT) AS backlog
+FROM queue GROUP BY server_uuid, ts_s"""),
+    "q_stream_catalog": _with(LOG + CAT + VERSIONS, """
+SELECT schema_name, table_name, arg_max(columns, valid_from) AS columns,
+       arg_max(n_cols, valid_from) AS n_cols, max(valid_from) AS valid_from
+FROM versions WHERE schema_name IN ('db0', 'db1') AND valid_from > 0 GROUP BY schema_name, table_name"""),
     "q_stream_executed": _with(LOG, ISLANDS.format("SELECT server_uuid, seq AS gno FROM log")),
     "q_catalog_upsert": _with(LOG + CAT + VERSIONS, f"""
 SELECT schema_name, table_name, columns, n_cols, valid_from FROM {NEWEST} v

@@ -10,6 +10,8 @@ from changeflow.plans.queries import SCHEMAS, ddl_fields, envelope_fields, query
 from changeflow.session import scratch_path
 from changeflow.sources import stream_changes
 from changeflow.streaming import (
+    backlog_log,
+    current_catalog,
     ddl_log,
     delivered_log,
     executed_set,
@@ -17,6 +19,8 @@ from changeflow.streaming import (
     kept_log,
     relay_progress,
     resolved_log,
+    start_backlog,
+    start_catalog,
     start_health,
     start_relay,
     start_schema_as_of,
@@ -149,3 +153,22 @@ def q_stream_health(spark, sf_dir):
     states, path = inputs.states_of(_changes(spark, sf_dir)), scratch_path(spark, "health")
     start_health(states, path, f"{path}/progress", inputs.HEALTH_PERIOD_S, "0 seconds").awaitTermination()
     return health_log(spark, path)
+
+
+@query
+def q_stream_backlog(spark, sf_dir):
+    """Queue depth per server and second on a stream of what enters and leaves."""
+    queue, path = inputs.queue_of(_changes(spark, sf_dir)), scratch_path(spark, "backlog")
+    start_backlog(queue, path, f"{path}/progress", ["server_uuid"]).awaitTermination()
+    return backlog_log(spark, path, queue.schema, ["server_uuid"])
+
+
+@query
+def q_stream_catalog(spark, sf_dir):
+    """The catalog as a stream of schema versions has left it."""
+    versions, path = inputs.versions_of(_changes(spark, sf_dir)), scratch_path(spark, "catalog")
+    start_catalog(versions, path, f"{path}/progress", SCHEMAS).awaitTermination()
+    newest = current_catalog(spark, path)
+    return newest.select(
+        "schema_name", "table_name", F.concat_ws(",", "columns").alias("columns"), "n_cols", "valid_from"
+    )

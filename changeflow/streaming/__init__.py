@@ -10,12 +10,14 @@ from changeflow.streaming.relay import (
     start_catalog,
     start_relay,
 )
+from changeflow.streaming.backlog import backlog_log, late_deltas, start_backlog
 from changeflow.streaming.health import health_log, start_health
 from changeflow.streaming.rate_limit import kept_log, late_log, start_throttle
 from changeflow.streaming.stateful import throttle_stream
 from changeflow.streaming.versions import late_changes, resolved_log, start_schema_as_of
 
 __all__ = [
+    "backlog_log",
     "current_catalog",
     "ddl_log",
     "dead_letter_log",
@@ -24,11 +26,13 @@ __all__ = [
     "health_log",
     "kept_log",
     "late_changes",
+    "late_deltas",
     "late_log",
     "relay_progress",
     "replay",
     "resolved_log",
     "row_log",
+    "start_backlog",
     "start_catalog",
     "start_health",
     "start_relay",

@@ -6,13 +6,14 @@ from pyspark.sql import types as T
 from changeflow.functions import gtid_text, table_key
 from changeflow.operators.catalog import upsert_catalog
 from changeflow.operators.envelope import MESSAGE_LIMIT, audit, ddl_envelope, fits_message
-from changeflow.operators.filters import allow_ddl, allow_rows, allowed
+from changeflow.operators.filters import allow_ddl, allow_rows
 from changeflow.operators.rows import row_messages
 from changeflow.operators.transaction_sets import coalesced, observed_set
 from changeflow.schemas import CATALOG_SCHEMA, CHANGE_SCHEMA, CHECKPOINT_SCHEMA, ROW_LOG_SCHEMA
 from changeflow.session import passing_tables
 from changeflow.sinks import append_checkpoints, batch_path, landed, write_batch
 from changeflow.sources.changes import MALFORMED, malformed, well_formed
+from changeflow.streaming.folding import FOLD_EVERY, add_batch, folded_rows
 from changeflow.streaming.runs import run_of
 
 
@@ -152,14 +153,21 @@ def executed_set(spark, path):
     return coalesced(landed(spark, f"{path}/executed", "server_uuid string, gno_start long, gno_end long"))
 
 
-def start_catalog(versions, path, checkpoint_location, schemas=(), tables=(), interval=None):
+def start_catalog(
+    versions, path, checkpoint_location, schemas=(), tables=(), interval=None, fold_every=FOLD_EVERY
+):
     """Keep the catalog of the allowed tables from a stream of schema versions.
 
-    Each batch adds its versions; ``current_catalog`` picks the newest per table.
+    Each batch adds the newest of its versions per table; after ``fold_every`` batches they are folded into a
+    snapshot with one row per table. ``current_catalog`` reads the snapshot and the batches since, so its
+    cost is bounded by the number of tables. Older versions are not kept.
     """
 
     def add(batch, batch_id):
-        write_batch(batch.filter(allowed(schemas, tables)), path, batch_id, run=run_of(batch, checkpoint_location))
+        add_batch(
+            upsert_catalog(batch, schemas, tables), path, batch_id, run_of(batch, checkpoint_location),
+            CATALOG_SCHEMA, upsert_catalog, fold_every,
+        )
 
     writer = versions.writeStream.foreachBatch(add).option(
         "checkpointLocation", checkpoint_location
@@ -171,7 +179,7 @@ def start_catalog(versions, path, checkpoint_location, schemas=(), tables=(), in
 
 def current_catalog(spark, path):
     """The newest version of each table that ``start_catalog`` has seen."""
-    return upsert_catalog(landed(spark, path, CATALOG_SCHEMA))
+    return upsert_catalog(folded_rows(spark, path, CATALOG_SCHEMA))
 
 
 def replay(dead_letters, catalog, limit=MESSAGE_LIMIT):
