@@ -1,4 +1,5 @@
 from changeflow.functions.gtid import gtid_text, resume_gtid_set, set_ranges, trim_space
+from changeflow.functions.partitions import key_partition, murmur2, spread_partition
 from changeflow.functions.values import (
     body_bytes,
     bytes_to_text,
@@ -10,9 +11,12 @@ __all__ = [
     "body_bytes",
     "bytes_to_text",
     "gtid_text",
+    "key_partition",
+    "murmur2",
     "named_values",
     "resume_gtid_set",
     "set_ranges",
+    "spread_partition",
     "table_key",
     "trim_space",
 ]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from changeflow.functions import body_bytes
+from changeflow.functions import body_bytes, key_partition, spread_partition
 from changeflow.operators.catalog import TABLE, arity_ok, prepare_catalog
 
 #: Fixed value: largest message body in bytes that is still sent.
@@ -86,11 +86,15 @@ def dead_letters(audited):
     )
 
 
-def queue_records(messages, topic, key_mode="sequence"):
+def queue_records(messages, topic, key_mode="sequence", partitions=None, partitioner="spread"):
     """Messages as records of a Kafka topic.
 
     ``sequence`` keys spread over all partitions; ``table`` keys keep a table's
     messages in one partition, in order.
+
+    With ``partitions``, their number, records also say their ``partition``: ``spread`` deals them evenly whatever
+    their key, ``key`` takes the hash of the key as queue clients do. A record without a key is spread. Without
+    ``partitions`` the queue's client decides. A retried batch gives the same partitions.
     """
     if key_mode == "sequence":
         key = F.col("seq").cast("string")
@@ -98,9 +102,16 @@ def queue_records(messages, topic, key_mode="sequence"):
         key = F.concat_ws(".", *TABLE)
     else:
         raise ValueError(f"unknown key mode {key_mode!r}")
-    return messages.select(
+    if partitioner not in ("spread", "key"):
+        raise ValueError(f"unknown partitioner {partitioner!r}")
+    columns = [
         F.lit(topic).alias("topic"),
         key.alias("key"),
         F.col("value"),
         F.timestamp_seconds("ts_s").alias("timestamp"),
-    )
+    ]
+    if partitions is not None:
+        spread = spread_partition([c for c in ("seq", "row_index") if c in messages.columns], partitions)
+        place = F.coalesce(key_partition(key, partitions), spread) if partitioner == "key" else spread
+        columns.append(place.alias("partition"))
+    return messages.select(*columns)

@@ -284,6 +284,37 @@ SELECT s.server_uuid, s.ts_s, CAST(d.backlog AS BIGINT) AS backlog
 FROM samples s ASOF JOIN depth d ON s.server_uuid = d.server_uuid AND s.ts_s >= d.ts_s
 QUALIFY row_number() OVER (PARTITION BY s.server_uuid ORDER BY s.ts_s DESC) <= 900"""
 
+# The 32-bit murmur2 hash of the key's bytes, four at a time, in bigints.
+MURMUR2 = """,
+sent AS (SELECT CAST(seq AS VARCHAR) AS key FROM audited WHERE outcome = 'delivered'),
+bytes AS (
+  SELECT key, length(key) AS n, [ascii(key[i]) for i in range(1, length(key) + 1)] AS b FROM sent
+),
+words AS (
+  SELECT key, n, b, [CAST(b[4*i+1] + 256 * b[4*i+2] + 65536 * b[4*i+3] + 16777216 * b[4*i+4] AS BIGINT)
+                     for i in range(0, n // 4)] AS w FROM bytes
+),
+mixed AS (
+  SELECT key, n, b,
+         list_prepend(CAST(xor(2538058380, n) AS BIGINT),
+           [((xor(((x * 1540483477) & 4294967295), ((x * 1540483477) & 4294967295) >> 24)) * 1540483477) & 4294967295
+            for x in w]) AS w
+  FROM words
+),
+body AS (
+  SELECT key, n, b, list_reduce(w, lambda h, x: xor((h * 1540483477) & 4294967295, x)) AS h FROM mixed
+),
+tail AS (
+  SELECT key, CASE WHEN n % 4 = 0 THEN h ELSE (xor(h, CAST(
+           b[n - n % 4 + 1] + CASE WHEN n % 4 > 1 THEN 256 * b[n - n % 4 + 2] ELSE 0 END
+           + CASE WHEN n % 4 > 2 THEN 65536 * b[n - n % 4 + 3] ELSE 0 END AS BIGINT)) * 1540483477) & 4294967295 END AS h
+  FROM body
+),
+middle AS (SELECT key, (xor(h, h >> 13) * 1540483477) & 4294967295 AS h FROM tail)
+SELECT CAST((xor(h, h >> 15) & 2147483647) % 12 AS INTEGER) AS partition, count(*) AS n_records,
+       CAST(sum(CAST(key AS BIGINT)) AS BIGINT) AS key_sum
+FROM middle GROUP BY 1"""
+
 DDL = """
 SELECT seq, 'ddl' AS Action, schema_name AS Schema,
        'ALTER TABLE ' || table_name || ' ADD COLUMN c' || CAST(seq AS VARCHAR) || ' INT' AS Query,
@@ -480,6 +511,7 @@ FROM log GROUP BY server_uuid"""),
 SELECT 'log' AS topic, CAST(seq AS VARCHAR) AS key, ts_s AS sent_s,
        CAST(new_cents AS VARCHAR) AS cents
 FROM audited WHERE outcome = 'delivered'"""),
+    "q_kafka_partitions": _with(AUDIT, MURMUR2),
     "q_sink_roundtrip": _with(AUDIT, ENVELOPE),
     "q_stream_relay": _with(AUDIT, ENVELOPE),
     "q_stream_dml_counts": _with(AUDIT, f"""

@@ -36,6 +36,9 @@ ALERT = {
     "endpoint": "kafka , version:0.10.2.2",
 }
 
+#: Partitions of the topic that records are dealt to.
+PARTITIONS = 12
+
 QUERIES = {}
 
 
@@ -613,6 +616,17 @@ def q_kafka_records(spark, sf_dir):
     )
 
 
+@query
+def q_kafka_partitions(spark, sf_dir):
+    """Messages per partition, where a record's key decides its partition."""
+    sent = envelope.delivered(_audited(spark, sf_dir))
+    records = envelope.queue_records(sent, TOPIC, partitions=PARTITIONS, partitioner="key")
+    return records.select("key", "partition").groupBy("partition").agg(
+        F.count("*").alias("n_records"),
+        F.sum(F.col("key").cast("bigint")).alias("key_sum"),
+    )
+
+
 @query
 def q_sink_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "delivered")
