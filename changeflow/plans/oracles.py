@@ -514,6 +514,7 @@ FROM audited WHERE outcome = 'delivered'"""),
     "q_kafka_partitions": _with(AUDIT, MURMUR2),
     "q_sink_roundtrip": _with(AUDIT, ENVELOPE),
     "q_stream_relay": _with(AUDIT, ENVELOPE),
+    "q_stream_committed": _with(AUDIT, ENVELOPE),
     "q_stream_dml_counts": _with(AUDIT, f"""
 SELECT schema_name, table_name, {COUNTS} FROM audited WHERE outcome = 'delivered'
 GROUP BY schema_name, table_name"""),

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from changeflow.operators import catalog, filters, reports, rows
+from changeflow.operators import catalog, envelope, filters, reports, rows
 from changeflow.operators.alerts import fan_out, health_alerts
 from changeflow.operators.throttle import SILENCE_GAP
 from changeflow.plans import inputs
 from changeflow.plans.queries import SCHEMAS, ddl_fields, envelope_fields, query, version_fields
 from changeflow.session import scratch_path
+from changeflow.sinks import committed_log, start_committed
 from changeflow.sources import stream_changes
 from changeflow.streaming import (
     backlog_log,
@@ -172,3 +173,13 @@ def q_stream_catalog(spark, sf_dir):
     return newest.select(
         "schema_name", "table_name", F.concat_ws(",", "columns").alias("columns"), "n_cols", "valid_from"
     )
+
+
+@query
+def q_stream_committed(spark, sf_dir):
+    """Delivered rows through the sink that commits each batch whole, read back."""
+    log = inputs.rows_only(filters.allow_rows(_changes(spark, sf_dir), SCHEMAS))
+    sent = envelope.delivered(envelope.audit(rows.row_messages(log), inputs.catalog(spark)))
+    records, path = sent.select("seq", "row_index", "value"), scratch_path(spark, "committed")
+    start_committed(records, path, f"{path}/progress").awaitTermination()
+    return envelope_fields(committed_log(spark, path, records.schema))

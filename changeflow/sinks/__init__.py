@@ -1,3 +1,4 @@
+from changeflow.sinks.committed import committed_batches, committed_log, remove_unlisted, start_committed
 from changeflow.sinks.tables import (
     append_checkpoints,
     batch_path,
@@ -7,4 +8,15 @@ from changeflow.sinks.tables import (
     write_kafka,
 )
 
-__all__ = ["append_checkpoints", "batch_path", "landed", "write_batch", "write_change_log", "write_kafka"]
+__all__ = [
+    "append_checkpoints",
+    "batch_path",
+    "committed_batches",
+    "committed_log",
+    "landed",
+    "remove_unlisted",
+    "start_committed",
+    "write_batch",
+    "write_change_log",
+    "write_kafka",
+]
