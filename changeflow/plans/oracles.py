@@ -321,6 +321,10 @@ SELECT seq, 'ddl' AS Action, schema_name AS Schema,
        '0' AS ErrorCode, CAST(seq % 4 AS VARCHAR) AS ExecutionTime, base64(encode(props)) AS StatusVars
 FROM log WHERE action = 'ddl' AND schema_name IN ('db0', 'db1')"""
 
+SEEK = """
+SELECT seq, binlog_file, binlog_pos FROM log
+WHERE (binlog_file, binlog_pos) >= ('bin.000002', 40004)"""
+
 ORACLES = {
     "q_change_events": _with(LOG, """
 SELECT seq, ts_s, server_uuid, gno, binlog_file, binlog_pos, schema_name, table_name, action,
@@ -328,9 +332,8 @@ SELECT seq, ts_s, server_uuid, gno, binlog_file, binlog_pos, schema_name, table_
             WHEN 'update' THEN 2 * n_rows + CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END
             ELSE n_rows END AS INTEGER) AS n_images
 FROM log"""),
-    "q_seek_position": _with(LOG, """
-SELECT seq, binlog_file, binlog_pos FROM log
-WHERE (binlog_file, binlog_pos) >= ('bin.000002', 40004)"""),
+    "q_seek_position": _with(LOG, SEEK),
+    "q_stream_seek_position": _with(LOG, SEEK),
     "q_gtid_union": _with(LOG + EXECUTED, ISLANDS.format(f"SELECT * FROM executed UNION {ROWS_SET}")),
     "q_gtid_subtract": _with(LOG + EXECUTED, ISLANDS.format(
         SET_OF.format("'update', 'ddl'") + " EXCEPT SELECT * FROM executed")),

@@ -8,8 +8,8 @@ from changeflow.operators.throttle import SILENCE_GAP
 from changeflow.plans import inputs
 from changeflow.plans.queries import SCHEMAS, ddl_fields, envelope_fields, query, version_fields
 from changeflow.session import scratch_path
-from changeflow.sinks import committed_log, start_committed
-from changeflow.sources import stream_changes
+from changeflow.sinks import committed_log, start_committed, write_change_log
+from changeflow.sources import stream_changes, stream_from_position
 from changeflow.streaming import (
     backlog_log,
     current_catalog,
@@ -183,3 +183,14 @@ def q_stream_committed(spark, sf_dir):
     records, path = sent.select("seq", "row_index", "value"), scratch_path(spark, "committed")
     start_committed(records, path, f"{path}/progress").awaitTermination()
     return envelope_fields(committed_log(spark, path, records.schema))
+
+
+@query
+def q_stream_seek_position(spark, sf_dir):
+    """The landed log as a stream from a position on; whole log files before it are not opened."""
+    log = inputs.change_log(spark, sf_dir).select("seq", "binlog_file", "binlog_pos")
+    path = scratch_path(spark, "positions")
+    write_change_log(log, f"{path}/log")
+    stream = stream_from_position(spark, f"{path}/log", "bin.000002", 40004, log.schema)
+    start_committed(stream, f"{path}/read", f"{path}/progress").awaitTermination()
+    return committed_log(spark, f"{path}/read", log.schema)

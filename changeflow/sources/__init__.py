@@ -11,6 +11,7 @@ from changeflow.sources.changes import (
     well_formed,
 )
 from changeflow.sources.checkpoints import executed_ranges, read_checkpoint, read_checkpoints
+from changeflow.sources.positions import stream_from_position
 from changeflow.sources.snapshot import bootstrap, snapshot_rows
 
 __all__ = [
@@ -29,5 +30,6 @@ __all__ = [
     "skip_executed",
     "snapshot_rows",
     "stream_changes",
+    "stream_from_position",
     "well_formed",
 ]

@@ -1,0 +1,154 @@
+"""The log as a stream with positions as offsets: start, planning, limits, restarts."""
+
+import os
+
+import pytest
+from pyspark.sql import types as T
+
+from changeflow.session import scratch_path
+from changeflow.sinks import committed_batches, committed_log, start_committed
+from changeflow.sources import stream_from_position
+from changeflow.sources import positions
+from changeflow.sources.positions import PositionReader
+
+SCHEMA = T.StructType(
+    [
+        T.StructField("seq", T.LongType()),
+        T.StructField("binlog_file", T.StringType()),
+        T.StructField("binlog_pos", T.LongType()),
+        T.StructField("row_images", T.ArrayType(T.ArrayType(T.StringType()))),
+    ]
+)
+#: The name of the last file has outgrown its padding.
+NAMES = ["bin.7", "bin.8", "bin.9", "bin.10"]
+
+
+def change(file, k):
+    return (NAMES.index(file) * 100 + k, file, 4 + 40 * k, [[str(k), None]])
+
+
+class Log:
+    def __init__(self, spark):
+        self.spark, self.path = spark, scratch_path(spark, "log")
+
+    def land(self, file, low, high):
+        """One more part of a log file."""
+        rows = [change(file, k) for k in range(low, high)]
+        (
+            self.spark.createDataFrame(rows, SCHEMA).coalesce(1)
+            .write.mode("append").partitionBy("binlog_file").parquet(self.path)
+        )
+
+    def read(self, name="out", interval=None, limit=None, **start):
+        progress = f"{self.path}-{name}-progress"
+        place = {"max_files": limit, "checkpoint_location": progress} if limit else {}
+        stream = stream_from_position(self.spark, self.path, schema=SCHEMA, **start, **place)
+        running = start_committed(stream, f"{self.path}-{name}", progress, interval)
+        if interval is None:
+            running.awaitTermination()
+        else:
+            running.processAllAvailable()
+            running.stop()
+
+    def seqs(self, name="out"):
+        return sorted(r.seq for r in committed_log(self.spark, f"{self.path}-{name}", SCHEMA).collect())
+
+    def batches(self, name="out"):
+        listed = committed_batches(self.spark, f"{self.path}-{name}")
+        return [r["sum(n_rows)"] for r in listed.groupBy("batch_id").sum("n_rows").orderBy("batch_id").collect()]
+
+    def reader(self, file="", pos=-1, **options):
+        return PositionReader(self.path, SCHEMA, {"file": file, "pos": pos}, **options)
+
+
+@pytest.fixture(scope="module")
+def log(spark):
+    made = Log(spark)
+    for name in NAMES:
+        made.land(name, 0, 10)
+        made.land(name, 10, 20)
+    return made
+
+
+def test_reads_from_a_position_on(log):
+    log.read("from", binlog_file="bin.9", binlog_pos=4 + 40 * 5)
+    assert log.seqs("from") == [*range(205, 220), *range(300, 320)]
+    rows = committed_log(log.spark, f"{log.path}-from", SCHEMA).filter("seq = 307").collect()
+    assert [tuple(r) for r in rows] == [(307, "bin.10", 284, [["7", None]])]
+
+
+def test_reads_the_whole_log_without_a_position(log):
+    log.read("all")
+    assert len(log.seqs("all")) == 80
+
+
+def test_files_before_the_start_are_not_opened(log, monkeypatch):
+    opened = []
+    real = positions.parquet.read_metadata
+    monkeypatch.setattr(positions.parquet, "read_metadata", lambda p, **kw: opened.append(p) or real(p, **kw))
+    reader = log.reader("bin.9", 4 + 40 * 14)
+    end = reader.latestOffset()
+    assert end == {"file": "bin.10", "pos": 4 + 40 * 19}
+    pieces = reader.partitions(reader.initialOffset(), end)
+    assert not [p for p in opened if "bin.7" in p or "bin.8" in p]
+    # The first part of bin.9 ends before the start: its rows are not read.
+    assert sorted(name for piece in pieces for name, *_ in piece.parts) == ["bin.10", "bin.10", "bin.9"]
+
+
+def test_row_groups_are_dealt_to_tasks_by_size(log, monkeypatch):
+    reader = log.reader()
+    end = reader.latestOffset()
+    assert len(reader.partitions(reader.initialOffset(), end)) == 1
+    monkeypatch.setattr(positions, "SPLIT_BYTES", 1)
+    assert len(reader.partitions(reader.initialOffset(), end)) == 8
+
+
+def test_a_stream_held_back_reads_on_across_restarts(log):
+    log.read("held", limit=1)
+    assert log.seqs("held") == list(range(20))
+    log.read("held", limit=1)
+    assert log.batches("held") == [20, 20]
+    log.read("held", interval="0 seconds", limit=1)
+    assert log.batches("held") == [20, 20, 20, 20] and len(log.seqs("held")) == 80
+
+
+def test_log_that_grows(spark):
+    log = Log(spark)
+    log.read()
+    assert log.seqs() == []
+    log.land("bin.7", 0, 5)
+    log.read()
+    log.read()
+    log.land("bin.7", 5, 9)
+    log.land("bin.8", 0, 3)
+    log.read()
+    assert log.seqs() == [*range(9), 100, 101, 102] and log.batches() == [5, 7]
+
+
+def test_a_repeated_batch_reads_the_same_range(spark):
+    """The driver is lost after the batch was planned; the log has grown meanwhile."""
+    log = Log(spark)
+    log.land("bin.7", 0, 5)
+    log.read()
+    commits = f"{log.path}-out-progress/commits"
+    for name in os.listdir(commits):
+        os.remove(f"{commits}/{name}")
+    log.land("bin.7", 5, 8)
+    log.read()
+    log.read()
+    assert log.seqs() == list(range(8))
+
+
+def test_a_column_that_a_file_lacks_is_null(spark):
+    log = Log(spark)
+    log.land("bin.7", 0, 2)
+    wide = T.StructType([*SCHEMA.fields, T.StructField("gno", T.LongType())])
+    reader = PositionReader(log.path, wide, {"file": "", "pos": -1})
+    pieces = reader.partitions(reader.start, reader.latestOffset())
+    rows = [r for piece in pieces for batch in reader.read(piece) for r in batch.to_pylist()]
+    assert [(r["seq"], r["binlog_file"], r["gno"]) for r in rows] == [(0, "bin.7", None), (1, "bin.7", None)]
+
+
+def test_a_limit_needs_the_checkpoint(spark):
+    with pytest.raises(ValueError):
+        stream_from_position(spark, "/log", max_files=1)
