@@ -14,6 +14,9 @@ CHECKPOINT_GAP_S = 3600
 HEALTH_PERIOD_S = 60
 SAMPLE_INTERVAL_S = 600
 BATCH_TICK_S = 86400
+DUMP_BEGINS = 500
+CHUNK_KEYS = 50
+CHUNK_STEP = 150
 
 
 def table(spark, sf_dir, name):
@@ -222,3 +225,16 @@ def typed_images(changes):
         return F.array(value(0, "bigint"), value(1), value(2, "bigint"), value(3))
 
     return changes.withColumn("row_images", F.transform("row_images", typed))
+
+
+def chunk_of(key):
+    """The dump's chunk of a row: a range of keys."""
+    return F.expr(f"CAST({key} AS BIGINT) div {CHUNK_KEYS}")
+
+
+def chunk_marks(rows):
+    """Where the log was before and after each chunk was read, and when it was; chunks overlap in time."""
+    low = DUMP_BEGINS + CHUNK_STEP * F.col("chunk")
+    return rows.select("chunk").distinct().select(
+        "chunk", low.alias("low"), (low + CHUNK_STEP * 2).alias("high"), (low + CHUNK_STEP).alias("read_at")
+    )

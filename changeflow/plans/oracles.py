@@ -370,6 +370,12 @@ UNION ALL
 SELECT 1, key, action, seq,
        id || '|' || kind || '|' || CAST(new_cents AS VARCHAR) || '|' || coalesce(props, 'NULL')
 FROM msg WHERE schema_name IN ('db0', 'db1') AND seq >= 500"""),
+    "q_snapshot_chunks": _with(MSG, """
+SELECT schema_name, table_name, id, l.kind AS kind, l.cents AS cents, l.props AS props
+FROM (SELECT schema_name, table_name, id,
+             max_by({'action': action, 'kind': kind, 'cents': new_cents, 'props': props}, seq * 4 + row_index) AS l
+      FROM msg WHERE schema_name IN ('db0', 'db1') GROUP BY schema_name, table_name, id)
+WHERE l.action <> 'delete'"""),
     "q_resume_from_checkpoint": _with(LOG + KEPT, """
 SELECT l.seq, l.server_uuid, l.gno FROM log l
 WHERE l.gno > (SELECT max(k.gno) FROM log k JOIN checkpoints c USING (seq) WHERE k.server_uuid = l.server_uuid)""", True),

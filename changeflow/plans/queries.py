@@ -16,11 +16,15 @@ from changeflow.session import scratch_path, written
 from changeflow.sources import (
     bootstrap,
     catalog_scan,
+    change_events,
+    chunked_snapshot,
     executed_ranges,
     from_position,
+    keyed_rows,
     read_checkpoint,
     read_checkpoints,
     skip_executed,
+    table_after,
 )
 
 SCHEMAS, TABLES = inputs.ALLOWED_SCHEMAS, inputs.ALLOWED_TABLES
@@ -205,6 +209,27 @@ def q_snapshot_bootstrap(spark, sf_dir):
     )
 
 
+@query
+def q_snapshot_chunks(spark, sf_dir):
+    """The tables once a dump in chunks and the changes since it began are applied.
+
+    The dump is what each chunk's rows were while it was read, with earlier changes in it only.
+    """
+    keys = ["schema_name", "table_name", "id"]
+    log = inputs.rows_only(filters.allow_rows(inputs.change_log(spark, sf_dir), SCHEMAS))
+    changed = keyed_rows(rows.row_messages(log), {"id": 0}).withColumn("chunk", inputs.chunk_of("id"))
+    marks = inputs.chunk_marks(changed)
+    before = changed.join(marks, "chunk").filter("seq <= read_at").drop("low", "high", "read_at")
+    dump = table_after(change_events(before, keys), keys)
+    events = chunked_snapshot(
+        dump.withColumn("chunk", inputs.chunk_of("id")), changed.filter(F.col("seq") > inputs.DUMP_BEGINS), marks, keys
+    )
+    return table_after(events, keys).select(
+        *keys, F.col("new_row")[1].alias("kind"), F.col("new_row")[2].cast("bigint").alias("cents"),
+        F.col("new_row")[3].alias("props"),
+    )
+
+
 @query
 def q_read_checkpoint(spark, sf_dir):
     return read_checkpoint(_saved_checkpoints(spark, sf_dir))

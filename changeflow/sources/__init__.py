@@ -11,15 +11,19 @@ from changeflow.sources.changes import (
     well_formed,
 )
 from changeflow.sources.checkpoints import executed_ranges, read_checkpoint, read_checkpoints
+from changeflow.sources.chunks import change_events, chunked_snapshot, keyed_rows, table_after
 from changeflow.sources.positions import stream_from_position
 from changeflow.sources.snapshot import bootstrap, snapshot_rows
 
 __all__ = [
     "bootstrap",
     "catalog_scan",
+    "change_events",
+    "chunked_snapshot",
     "executed_ranges",
     "from_position",
     "jdbc_catalog_columns",
+    "keyed_rows",
     "kafka_changes",
     "malformed",
     "number_changes",
@@ -31,5 +35,6 @@ __all__ = [
     "snapshot_rows",
     "stream_changes",
     "stream_from_position",
+    "table_after",
     "well_formed",
 ]
