@@ -1,3 +1,4 @@
+from changeflow.functions.bodies import canonical_body
 from changeflow.functions.gtid import gtid_text, resume_gtid_set, set_ranges, trim_space
 from changeflow.functions.partitions import key_partition, murmur2, spread_partition
 from changeflow.functions.values import (
@@ -10,6 +11,7 @@ from changeflow.functions.values import (
 __all__ = [
     "body_bytes",
     "bytes_to_text",
+    "canonical_body",
     "gtid_text",
     "key_partition",
     "murmur2",

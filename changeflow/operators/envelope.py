@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from changeflow.functions import body_bytes, key_partition, spread_partition
+from changeflow.functions import body_bytes, canonical_body, key_partition, spread_partition
 from changeflow.operators.catalog import TABLE, arity_ok, prepare_catalog
 
 #: Fixed value: largest message body in bytes that is still sent.
@@ -16,12 +16,18 @@ def _values_by_name(row):
     return F.map_from_arrays("sorted_columns", values)
 
 
-def row_envelope(resolved):
+def _body(fields, exact):
+    json = F.to_json(fields, _JSON)
+    return canonical_body(json) if exact else json
+
+
+def row_envelope(resolved, exact=False):
     """Add ``value``, the JSON body of a row message.
 
     ``resolved`` comes from a join with ``prepare_catalog``. ``oldvalues`` is
     always there, null unless the row is an update; columns come in name order.
-    The body is null for a row that does not fit its table.
+    The body is null for a row that does not fit its table. With ``exact`` it has
+    the escapes of the relay being rebuilt, byte for byte; else it is equal as JSON.
     """
     body = F.struct(
         F.col("action"),
@@ -31,11 +37,11 @@ def row_envelope(resolved):
         _values_by_name("new_row").alias("values"),
         F.when(F.col("action") == "update", _values_by_name("old_row")).alias("oldvalues"),
     )
-    return resolved.withColumn("value", F.when(arity_ok(), F.to_json(body, _JSON)))
+    return resolved.withColumn("value", F.when(arity_ok(), _body(body, exact)))
 
 
-def ddl_envelope(ddl_events):
-    """Add ``value``, the JSON body of a DDL message; JSON shows bytes as base64."""
+def ddl_envelope(ddl_events, exact=False):
+    """Add ``value``, the JSON body of a DDL message; JSON shows bytes as base64. ``exact`` as in ``row_envelope``."""
     body = F.struct(
         F.col("action").alias("Action"),
         F.col("schema_name").alias("Schema"),
@@ -44,7 +50,7 @@ def ddl_envelope(ddl_events):
         F.col("execution_time").alias("ExecutionTime"),
         F.col("status_vars").alias("StatusVars"),
     )
-    return ddl_events.withColumn("value", F.to_json(body, _JSON))
+    return ddl_events.withColumn("value", _body(body, exact))
 
 
 def fits_message(body, limit=MESSAGE_LIMIT):
@@ -65,11 +71,14 @@ def outcome(limit=MESSAGE_LIMIT, count_oversize=False):
     return chain.otherwise("delivered")
 
 
-def audit(rows, catalog, limit=MESSAGE_LIMIT, count_oversize=False):
-    """Every row message with its body and its outcome; ``count_oversize`` as in ``outcome``."""
+def audit(rows, catalog, limit=MESSAGE_LIMIT, count_oversize=False, exact=False):
+    """Every row message with its body and its outcome; ``count_oversize`` as in ``outcome``.
+
+    With ``exact``, as in ``row_envelope``, the limit decides as the relay being rebuilt does.
+    """
     resolved = rows.join(prepare_catalog(catalog), TABLE, "left")
     return (
-        row_envelope(resolved)
+        row_envelope(resolved, exact)
         .withColumn("outcome", outcome(limit, count_oversize))
         .drop("sorted_columns", "sorted_at")
     )

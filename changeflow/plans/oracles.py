@@ -321,6 +321,17 @@ SELECT seq, 'ddl' AS Action, schema_name AS Schema,
        '0' AS ErrorCode, CAST(seq % 4 AS VARCHAR) AS ExecutionTime, base64(encode(props)) AS StatusVars
 FROM log WHERE action = 'ddl' AND schema_name IN ('db0', 'db1')"""
 
+
+def _escaped(text):
+    """A text as it stands in a JSON string of a message body."""
+    codes = {c: f"\\u{c:04x}" for c in [*range(1, 0x20), *b"<>&", 0x2028, 0x2029]}
+    codes |= {ord("\n"): "\\n", ord("\r"): "\\r", ord("\t"): "\\t", ord('"'): '\\"'}
+    sql = f"replace({text}, '\\', '\\\\')"
+    for code, escape in codes.items():
+        sql = f"replace({sql}, chr({code}), '{escape}')"
+    return sql
+
+
 SEEK = """
 SELECT seq, binlog_file, binlog_pos FROM log
 WHERE (binlog_file, binlog_pos) >= ('bin.000002', 40004)"""
@@ -396,6 +407,17 @@ SELECT seq, CAST(m.o AS INTEGER) AS ordinal, m.kind AS kind, m.payload AS payloa
     "q_oversize": """
 SELECT doc_id, CAST(octet_length(encode(text)) AS INTEGER) AS n_bytes,
        octet_length(encode(text)) <= 10000 AS fits FROM documents""",
+    "q_oversize_exact": rf"""
+WITH bodies AS (
+  SELECT doc_id, text, CASE WHEN text IS NULL THEN '{{"text":null}}' ELSE '{{"text":"' || {_escaped("text")} || '"}}' END AS body
+  FROM documents)
+SELECT doc_id,
+       CAST(CASE WHEN text IS NULL THEN 13 ELSE 11 + octet_length(encode(text))
+         + length(regexp_replace(text, '[^"\\\n\r\t]', '', 'g'))
+         + 5 * length(regexp_replace(text, '[^<>&\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'))
+         + 3 * length(regexp_replace(text, '[^\x{{2028}}\x{{2029}}]', '', 'g')) END AS INTEGER) AS n_bytes,
+       n_bytes <= 10000 AS fits, md5(body) AS body_md5
+FROM bodies""",
     "q_arity_mismatch": _with(AUDIT, """
 SELECT seq, row_index, key, n_cols, 4 AS n_values FROM audited WHERE outcome = 'arity_mismatch'"""),
     "q_delivery_audit": _with(AUDIT, """

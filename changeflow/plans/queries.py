@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from changeflow import sinks
 from changeflow.functions import (
     body_bytes,
+    canonical_body,
     bytes_to_text,
     resume_gtid_set,
     table_key,
@@ -291,6 +292,19 @@ def q_oversize(spark, sf_dir):
     )
 
 
+@query
+def q_oversize_exact(spark, sf_dir):
+    """Size and digest of the bodies as they are sent, and whether they are."""
+    body = canonical_body(F.to_json(F.struct("text"), {"ignoreNullFields": "false"}))
+    bodies = inputs.table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+    return bodies.select(
+        "doc_id",
+        body_bytes(F.col("body")).alias("n_bytes"),
+        envelope.fits_message(F.col("body"), OVERSIZE_LIMIT).alias("fits"),
+        F.md5("body").alias("body_md5"),
+    )
+
+
 @query
 def q_arity_mismatch(spark, sf_dir):
     return catalog.arity_mismatch(_resolved(spark, sf_dir)).select(
