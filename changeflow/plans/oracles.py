@@ -502,6 +502,7 @@ LEFT JOIN (SELECT * FROM log WHERE action = 'ddl' AND schema_name IN ('db0', 'db
     "q_component_state": _with(LOG + STATES, """
 SELECT component, arg_max(state, ts_s) AS state FROM states GROUP BY component"""),
     "q_metric_series": _with(LOG + QUEUE + METRIC, ""),
+    "q_stream_metric_series": _with(LOG + QUEUE + METRIC, ""),
     "q_latest_position": _with(LOG, """
 SELECT server_uuid, seq, binlog_file, binlog_pos FROM log
 QUALIFY row_number() OVER (PARTITION BY server_uuid ORDER BY seq DESC) = 1"""),

@@ -20,11 +20,13 @@ from changeflow.streaming import (
     kept_log,
     relay_progress,
     resolved_log,
+    series_log,
     start_backlog,
     start_catalog,
     start_health,
     start_relay,
     start_schema_as_of,
+    start_series,
     start_throttle,
 )
 
@@ -194,3 +196,14 @@ def q_stream_seek_position(spark, sf_dir):
     stream = stream_from_position(spark, f"{path}/log", "bin.000002", 40004, log.schema)
     start_committed(stream, f"{path}/read", f"{path}/progress").awaitTermination()
     return committed_log(spark, f"{path}/read", log.schema)
+
+
+@query
+def q_stream_metric_series(spark, sf_dir):
+    """The newest samples of each server's queue depth, kept from a stream of all its samples."""
+    path = scratch_path(spark, "series")
+    samples = reports.sample_backlog(inputs.queue_events(spark, sf_dir), inputs.SAMPLE_INTERVAL_S, ["server_uuid"])
+    samples.write.parquet(f"{path}/samples")
+    stream = stream_changes(spark, f"{path}/samples", schema=samples.schema, max_files=4)
+    start_series(stream, f"{path}/kept", f"{path}/progress", ["server_uuid"]).awaitTermination()
+    return series_log(spark, f"{path}/kept", samples.schema, ["server_uuid"])
