@@ -19,15 +19,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WATCHED = ("canal", "endpoint")
 ALERTS = "ts_s long, canal_state int, endpoint_state int"
-_PENDING = T.StructType(
-    [
-        T.StructField("tick_s", T.LongType()),
-        T.StructField("ts_s", T.LongType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("place", T.IntegerType()),
-        T.StructField("state", T.IntegerType()),
-    ]
-)
+#: Alerts in one frame, so that a long span of them is never held at once.
+ALERTS_AT_ONCE = 100_000
 _CURRENT = T.StructType(
     [T.StructField("next_s", T.LongType()), T.StructField("canal", T.IntegerType()), T.StructField("endpoint", T.IntegerType())]
 )
@@ -36,71 +29,82 @@ _CURRENT = T.StructType(
 class HealthChecks(StatefulProcessor):
     """The checks of one monitored relay that find a component down.
 
-    State changes wait until the watermark reaches the check they belong to. One timer stands at the
-    next check that can alert: that of the oldest waiting change, or, while a component is down, the
-    very next one. When it fires, all checks up to the watermark are made at once.
+    Rows are checks that a state has changed before, one each, and come when the watermark has reached them: the
+    aggregate ahead holds them until then. All checks up to the watermark are made at once. While a component is
+    down a timer stands at the very next one, so that it is made though no state changes.
     """
 
-    def __init__(self, period):
-        self.period = period
+    def __init__(self, period, keyed=False):
+        self.period, self.keyed = period, keyed
 
     def init(self, handle):
         self.handle = handle
-        self.pending = handle.getListState("pending", _PENDING)
         self.current = handle.getValueState("current", _CURRENT)
 
-    def _wake(self, tick):
-        # A timer fires once the watermark is past it, and a check is due when the watermark reaches it.
-        self.handle.registerTimer(int(tick) * 1000 - 1)
-
     def handleInputRows(self, key, rows, timerValues):
-        came = pd.concat(list(rows))
-        places = came["component"].map({c: i for i, c in enumerate(WATCHED)})
-        waiting = zip(came["tick_s"], came["ts_s"], came["seq"], places, came["state"])
-        self.pending.appendList([tuple(int(v) for v in row) for row in waiting])
-        self._wake(came["tick_s"].min())
-        return iter(())
+        parts = [_packed(part) for part in rows]
+        changed = np.concatenate(parts)
+        parts.clear()
+        changed.sort(order="tick")
+        return self._advance(key, changed, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        return self._advance(key, np.empty(0, _CHANGED), timerValues)
+
+    def _advance(self, key, changed, timerValues):
+        """Make the checks up to the watermark, given those before which a state has changed."""
         upto = timerValues.getCurrentWatermarkInMs() // 1000
-        held = sorted(self.pending.get()) if self.pending.exists() else []
-        due = [row for row in held if row[0] <= upto]
-        current = self.current.get() if self.current.exists() else None
-        states = [current[1], current[2]] if current else [0, 0]
-        at = current[0] if current else (due[0][0] if due else None)
-        found = []
-        for i, (tick, _, _, place, state) in enumerate(due):
-            at = self._checks(at, tick - self.period, states, found)
-            states[place] = state
-            # Of several changes before one check the last of each component counts.
-            if i + 1 == len(due) or due[i + 1][0] > tick:
-                at = self._checks(at, tick, states, found)
-        if at is not None:
-            at = self._checks(at, upto, states, found)
-            self.current.update((at, *states))
-            if 0 in states:
-                self._wake(at)
-        left = held[len(due) :]
-        self.pending.clear()
-        if left:
-            self.pending.put(left)
-            self._wake(left[0][0])
-        if found:
-            ticks = np.concatenate([t for t, _, _ in found])
-            canal, endpoint = (np.concatenate([np.full(len(f[0]), f[i], np.int32) for f in found]) for i in (1, 2))
-            yield pd.DataFrame({"ts_s": ticks, "canal_state": canal, "endpoint_state": endpoint})
-
-    def _checks(self, at, upto, states, found):
-        """Make the checks from ``at`` to ``upto``; returns the check that comes next."""
-        after = at + max(0, (upto - at) // self.period + 1) * self.period
-        if 0 in states and after > at:
-            found.append((np.arange(at, after, self.period, dtype=np.int64), *states))
-        return after
+        if self.current.exists():
+            at, *before = self.current.get()
+        else:
+            at, before = int(changed["tick"][0]), [0, 0]
+        # A state holds from its check up to the next one that a state has changed before.
+        starts = np.append(at, changed["tick"])
+        ends = np.append(changed["tick"], max(at, at + ((upto - at) // self.period + 1) * self.period))
+        states = [_filled(first, changed[c], changed[f"has_{c}"]) for first, c in zip(before, WATCHED)]
+        self.current.update((int(ends[-1]), *(int(s[-1]) for s in states)))
+        if any(s[-1] == 0 for s in states):
+            # A timer fires once the watermark is past it, and a check is due when the watermark reaches it.
+            self.handle.registerTimer(int(ends[-1]) * 1000 - 1)
+        down = (states[0] == 0) | (states[1] == 0)
+        return self._alerts(key, starts[down], ends[down], [s[down] for s in states])
+
+    def _alerts(self, key, starts, ends, states):
+        upto = np.cumsum((ends - starts) // self.period)
+        for first in range(0, int(upto[-1]) if len(upto) else 0, ALERTS_AT_ONCE):
+            number = np.arange(first, min(first + ALERTS_AT_ONCE, int(upto[-1])))
+            span = np.searchsorted(upto, number, side="right")
+            ticks = ends[span] - (upto[span] - number) * self.period
+            found = pd.DataFrame({"ts_s": ticks, "canal_state": states[0][span], "endpoint_state": states[1][span]})
+            if self.keyed:
+                found.insert(0, "relay", key[0])
+            yield found
 
     def close(self):
         pass
 
 
+_CHANGED = np.dtype(
+    [("tick", np.int64), *((c, np.int32) for c in WATCHED), *((f"has_{c}", np.bool_) for c in WATCHED)]
+)
+
+
+def _packed(part):
+    """Checks of a frame in 18 bytes each; a component without a change has none of its own."""
+    packed = np.empty(len(part), _CHANGED)
+    packed["tick"] = part["tick_s"].to_numpy(np.int64)
+    for c in WATCHED:
+        packed[f"has_{c}"] = part[c].notna().to_numpy()
+        packed[c] = part[c].fillna(0).to_numpy(np.int32)
+    return packed
+
+
+def _filled(first, values, changed):
+    """The state before all checks and after each: of those without a change, that of the one before."""
+    last = np.maximum.accumulate(np.where(changed, np.arange(1, len(values) + 1), 0), dtype=np.int64)
+    return np.append(np.int32(first), values)[np.append(0, last)]
+
+
 def start_health(state_changes, path, checkpoint_location, period=HEALTH_PERIOD, delay=None, key=None, interval=None):
     """Start ``health_alerts`` on a stream; returns the streaming query, ``path`` gets the alerts.
 
@@ -109,21 +113,29 @@ def start_health(state_changes, path, checkpoint_location, period=HEALTH_PERIOD,
     time goes on without a change of state. A change whose check has been made is late and dropped, as
     with any watermark, so its component keeps the state before it until its next change: choose ``delay``
     for the lateness that occurs. ``key`` names a column that tells monitored relays apart: each has checks of its own, and alerts
-    carry its value as text in ``relay``. A relay's state is its changes within ``delay`` and one row.
+    carry its value as text in ``relay``.
+
+    An aggregate, combined before the shuffle, shrinks the changes between two checks to one row and releases it
+    by watermark. So Python sees one row per check, and a relay's state is one row per check within ``delay`` and
+    one more.
     """
-    keyed = state_changes.filter(F.col("component").isin(*WATCHED)).select(
+    keyed = state_changes.filter(F.col("component").isin(*WATCHED) & F.col("ts_s").isNotNull()).select(
         (F.col(key) if key else F.lit("")).cast("string").alias("relay"),
         "component", "ts_s", "seq", F.col("state").cast("int").alias("state"),
         next_multiple("ts_s", period).alias("tick_s"),
     )
+
+    def last_state(component):
+        # Of several changes before one check the last counts.
+        return F.max(F.when(F.col("component") == component, F.struct("ts_s", "seq", "state")))["state"].alias(component)
+
     delay = f"{period} seconds" if delay is None else delay
     timed = keyed.withColumn("_tick", F.timestamp_seconds("tick_s")).withWatermark("_tick", delay)
-    processor = HealthChecks(period)
-    schema = ALERTS
-    if key:
-        processor, schema = _Keyed(period), f"relay string, {ALERTS}"
-    alerts = timed.groupBy("relay").transformWithStateInPandas(
-        processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    checks = timed.groupBy("relay", "_tick").agg(*map(last_state, WATCHED)).withColumn("tick_s", F.unix_seconds("_tick"))
+    alerts = checks.groupBy("relay").transformWithStateInPandas(
+        HealthChecks(period, keyed=key is not None),
+        outputStructType=f"relay string, {ALERTS}" if key else ALERTS,
+        outputMode="Append", timeMode="EventTime",
     )
 
     def add(batch, batch_id):
@@ -134,13 +146,6 @@ def start_health(state_changes, path, checkpoint_location, period=HEALTH_PERIOD,
     return _started(state_changes.sparkSession, writer)
 
 
-class _Keyed(HealthChecks):
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        for alerts in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
-            alerts.insert(0, "relay", key[0])
-            yield alerts
-
-
 def _started(spark, writer):
     """Start with the state store that timers need; other queries keep theirs."""
     setting = "spark.sql.streaming.stateStore.providerClass"

@@ -27,6 +27,7 @@ from changeflow.streaming import (
     start_throttle,
 )
 from changeflow.plans import inputs
+from changeflow.streaming import health
 
 CHANGES = "seq long, ts_s long, schema_name string, table_name string"
 VERSIONS = "schema_name string, table_name string, columns array<string>, n_cols int, valid_from long, ts_s long"
@@ -211,6 +212,29 @@ def test_checks_fire_without_a_new_row(spark):
     assert found == sorted([("a", t, 1, 0) for t in range(10, 101, 10)], key=repr)
 
 
+def test_changes_between_two_checks_reach_the_state_as_one_row(spark):
+    rng = random.Random(3)
+    rows = [(s, rng.randrange(1, 30), rng.choice(["canal", "endpoint"]), rng.randrange(2), "r") for s in range(3000)]
+    path = scratch_path(spark, "health-many")
+    land(spark, rows, STATES, f"{path}/in")
+    stream = spark.readStream.schema(STATES).parquet(f"{path}/in")
+    query = start_health(stream, path, f"{path}/progress", period=10, delay="0 seconds")
+    query.awaitTermination()
+    held = [o["numRowsUpdated"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert 0 < sum(held) < 30
+    columns = ["ts_s", "canal_state", "endpoint_state"]
+    assert rows_of(health_log(spark, path), *columns) == rows_of(health_alerts(spark.createDataFrame(rows, STATES), 10), *columns)
+
+
+def test_a_long_span_of_alerts_comes_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(health, "ALERTS_AT_ONCE", 7)
+    rows = [(1, 10, "canal", 1, "r"), (2, 12, "endpoint", 0, "r"), (3, 400, "endpoint", 1, "r"), (4, 440, "canal", 0, "r"), (5, 500, "canal", 1, "r")]
+    path = scratch_path(spark, "health-long")
+    run_health(spark, path, [rows], period=5, delay="0 seconds")
+    columns = ["ts_s", "canal_state", "endpoint_state"]
+    assert rows_of(health_log(spark, path), *columns) == rows_of(health_alerts(spark.createDataFrame(rows, STATES), 5), *columns)
+
+
 # --- executed sets, empty logs -------------------------------------------------------------------
 
 
