@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from changeflow.operators.filters import allowed
 from changeflow.operators.intervals import locate
-from changeflow.operators.ordered import BLOCK_ROWS, block_of, levels_of, next_after
+from changeflow.operators.ordered import ASOF_ROWS, BLOCK_ROWS, asof_join, block_of, levels_of, next_after
 from changeflow.session import written
 
 TABLE = ["schema_name", "table_name"]
@@ -77,16 +77,22 @@ def resolve_latest(changes, versions):
 def resolve_as_of(changes, versions, width=BLOCK_ROWS):
     """Changes with the schema that was valid at their own ``seq``.
 
-    A version holds from its ``valid_from`` up to the next one of its table. A change at or after its
-    table's newest version is settled by an equi-join on the table alone; earlier ones are looked up in
-    dyadic pieces of the closed versions, so work grows with the versions and not with the length of the
-    log. Spark broadcasts a short history and the log stays where it is; a long one is joined by
-    sort-merge. Of versions with one ``valid_from`` the largest counts. ``width`` bounds the blocks in
-    which a table's versions are put in order.
+    A version holds from its ``valid_from`` up to the next one of its table. Of versions with one
+    ``valid_from`` the largest counts. A long history meets the changes in one union, so that each change is
+    shuffled once (``asof_join``). Of one that fits a task, a change at or after its table's newest version is
+    settled by an equi-join on the table alone and earlier ones are looked up by ``locate``: Spark broadcasts
+    a short history and the log stays where it is. ``width`` bounds the blocks in which a table's rows are put in
+    order.
 
     Resolve events before exploding their rows: all rows of an event share it.
     """
-    spans = written(version_spans(versions, width), "version-spans")
+    single = written(distinct_versions(versions), "versions")
+    # Only a table can be put in order; a stream meets a long history by joins too.
+    if not changes.isStreaming and levels_of(single, ["_block"]):
+        dated = single.filter("valid_from IS NOT NULL")
+        fields = ["columns", "n_cols", "valid_from"]
+        return asof_join(changes, dated, TABLE, "seq", "valid_from", fields, min(width, ASOF_ROWS))
+    spans = written(version_spans(single, width), "version-spans")
     newest = spans.filter("_next IS NULL").select(
         *[F.col(c).alias(f"_newest_{c}") for c in TABLE], F.col("valid_from").alias("_newest_from")
     )
@@ -106,16 +112,16 @@ def resolve_as_of(changes, versions, width=BLOCK_ROWS):
     )
 
 
-def version_spans(versions, width=BLOCK_ROWS):
-    """Every version with the ``valid_from`` of the next one of its table in ``_next``."""
-    single = written(
-        versions.groupBy(*TABLE, "valid_from").agg(F.max(F.struct("columns", "n_cols")).alias("_v")), "versions"
-    )
-    levels = levels_of(single, ["_block"])
-    placed = single.select(*TABLE, "valid_from", "_v.columns", "_v.n_cols").withColumn(
-        "_block", block_of("valid_from", width)
-    )
-    return next_after(placed, "valid_from", TABLE, ["valid_from"], levels, "_next").drop("_block")
+def distinct_versions(versions):
+    """One version per table and ``valid_from``, the largest."""
+    largest = versions.groupBy(*TABLE, "valid_from").agg(F.max(F.struct("columns", "n_cols")).alias("_v"))
+    return largest.select(*TABLE, "valid_from", "_v.columns", "_v.n_cols")
+
+
+def version_spans(single, width=BLOCK_ROWS):
+    """Distinct versions with the ``valid_from`` of the next one of their table in ``_next``."""
+    placed = single.withColumn("_block", block_of("valid_from", width))
+    return next_after(placed, "valid_from", TABLE, ["valid_from"], levels_of(single, ["_block"]), "_next").drop("_block")
 
 
 def _same_table(left, right, prefix):

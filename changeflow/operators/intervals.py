@@ -7,6 +7,7 @@ equi-join key per width that its keys' intervals use.
 
 from pyspark.sql import functions as F
 
+from changeflow.operators.ordered import asof_join
 from changeflow.session import written
 
 TOP = 62
@@ -44,7 +45,9 @@ def locate(frame, keys, value, intervals, start, end, columns, settled=None):
 
     Pieces are written as a table, so Spark knows their size: it broadcasts few, and the frame stays where
     it is. Every interval adds at most two pieces per width; every row is tried once per width in use
-    for its key, without leaving its task.
+    for its key, without leaving its task. Pieces beyond Spark's broadcast limit would have every try
+    shuffled: then rows and intervals meet in one union, in which a row is shuffled once (``asof_join``).
+    A stream cannot be put in order and keeps its tries.
     """
     pieces = written(
         intervals.select(
@@ -56,6 +59,8 @@ def locate(frame, keys, value, intervals, start, end, columns, settled=None):
         ).select("*", F.col("_p.width").alias("_width"), F.col("_p.number").alias("_number")).drop("_p"),
         "interval-pieces",
     )
+    if not frame.isStreaming and not _broadcasts(pieces):
+        return _in_order(frame, keys, value, intervals, start, end, columns, settled)
     heads = pieces.groupBy(*[F.col(f"_of_{k}").alias(f"_head_{k}") for k in keys]).agg(
         F.collect_set("_width").alias("_widths"), F.min("_start").alias("_low"), F.max("_end").alias("_high")
     )
@@ -75,6 +80,23 @@ def locate(frame, keys, value, intervals, start, end, columns, settled=None):
     )
 
 
+def _broadcasts(table):
+    """Whether Spark broadcasts a written table by its size."""
+    limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit
+
+
+def _in_order(frame, keys, value, intervals, start, end, columns, settled):
+    """``locate`` by the last interval that starts at or before ``value``."""
+    held = intervals.filter(F.col(start) <= F.col(end)).select(
+        *keys, F.col(start).alias("_start"), F.col(end).alias("_end"), *columns
+    )
+    is_settled = F.lit(False) if settled is None else F.coalesce(settled, F.lit(False))
+    found = asof_join(frame.withColumn("_settled", is_settled), held, keys, value, "_start", ["_end", *columns])
+    inside = (F.col(value) <= F.col("_end")) & ~F.col("_settled")
+    return found.select(*frame.columns, *[F.when(inside, F.col(c)).alias(c) for c in columns])
+
+
 def _equal(left, right, keys, prefix):
     found = F.lit(True)
     for k in keys:

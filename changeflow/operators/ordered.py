@@ -13,6 +13,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 20
+#: Positions in a block of an as-of join.
+ASOF_ROWS = BLOCK_ROWS // 8
 #: A table of at most so many rows is put in order as it is: no key of it can hold more.
 PLAIN_ROWS = 1 << 16
 
@@ -150,7 +152,7 @@ def next_after(df, column, keys, order, levels, name):
     return followed.filter("_side = 0").drop("_side") if levels else followed
 
 
-def asof_join(left, right, keys, left_on, right_on, columns, width=BLOCK_ROWS // 8):
+def asof_join(left, right, keys, left_on, right_on, columns, width=ASOF_ROWS):
     """Left rows with ``columns`` of the last right row of the same keys whose
     ``right_on`` is not after ``left_on``; nulls where there is none.
 

@@ -110,6 +110,36 @@ def test_schema_as_of_a_long_log(spark):
         assert r.valid_from == max((s for s in starts if s <= r.seq), default=None)
 
 
+@pytest.mark.parametrize("plain_rows", [1 << 16, 0])
+def test_schema_as_of_shuffles_each_change_once(spark, monkeypatch, plain_rows):
+    """Where the history is too long to be broadcast, no change is multiplied before a shuffle."""
+    monkeypatch.setattr(ordered, "PLAIN_ROWS", plain_rows)
+    rng = random.Random(4)
+    versions = [("s", rng.choice("ab"), ["c"] * n, n, rng.randrange(3000)) for n in (rng.randrange(1, 5) for _ in range(300))]
+    changes = [(rng.randrange(-5, 4000), "s", rng.choice("abn")) for _ in range(500)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = catalog.resolve_as_of(
+            spark.createDataFrame(changes, "seq long, schema_name string, table_name string"),
+            spark.createDataFrame(versions, "schema_name string, table_name string, columns array<string>, n_cols int, valid_from long"),
+        )
+        assert "explode" not in found._jdf.queryExecution().executedPlan().toString().lower()
+        rows = [tuple(r) for r in found.select("seq", "schema_name", "table_name", "columns", "n_cols", "valid_from").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(rows, key=repr) == brute_as_of(changes, versions)
+
+
+def test_lookup_in_order_equals_lookup_by_pieces(spark):
+    held = spark.createDataFrame([("a", 1, 4, "x"), ("a", 5, 5, "y"), ("a", 9, 8, "none"), (None, 2, 3, "z"), ("a", None, 7, "none")], "k string, s long, e long, v string")
+    frame = spark.createDataFrame([(k, n, i) for i, k in enumerate(["a", None, "b"]) for n in [None, -1, *range(12)]], "k string, n long, i int")
+    by_pieces = intervals.locate(frame, ["k"], "n", held, "s", "e", ["v"], settled=F.col("n") == 2)
+    in_order = intervals._in_order(frame, ["k"], "n", held, "s", "e", ["v"], F.col("n") == 2)
+    assert in_order.columns == by_pieces.columns
+    assert sorted(map(tuple, in_order.collect()), key=repr) == sorted(map(tuple, by_pieces.collect()), key=repr)
+
+
 @pytest.mark.parametrize("plain_rows", [1 << 16, 0])
 def test_skip_executed_against_sets(spark, monkeypatch, plain_rows):
     monkeypatch.setattr(ordered, "PLAIN_ROWS", plain_rows)
